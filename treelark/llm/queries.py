@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
+QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe}
 SQL = {"op1_quality_rules": quality.OP1_SQL}
 
 
