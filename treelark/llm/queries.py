@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, exact, mixing, quality
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe}
-SQL = {"op1_quality_rules": quality.OP1_SQL}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_mixing": mixing.op2_mixing,
+    "op4_exact_dedup": exact.op4_exact_dedup,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+}
+SQL = {"op1_quality_rules": quality.OP1_SQL, "op4_exact_dedup": exact.OP4_SQL}
 
 
 def queries() -> dict:
