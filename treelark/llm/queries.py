@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, quality
+from . import bpe, exact, mixing, quality, recompress, suffixes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
+    "op3_substring_dedup": recompress.op3_substring_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op1_quality_rules": quality.OP1_SQL, "op4_exact_dedup": exact.OP4_SQL}
+SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL}
 
 
 def queries() -> dict:
