@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, quality, recompress, suffixes
+from . import bpe, exact, maxent, mixing, quality, recompress, suffixes, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_substring_dedup": recompress.op3_substring_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_lm_scoring": maxent.op8_lm_scoring,
+    "op9_token_file": tokenfile.op9_token_file,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL}
