@@ -26,7 +26,7 @@ from . import common as c
 from . import repeats
 
 WINDOW, ROUNDS = 50, 6
-EXTRACTED = "key long, doc_id long, rk long, pos int, lo int, n int, many int, h1 long, h2 long"
+EXTRACTED = "doc_id long, rk long, lo int, h1 long, h2 long"
 _U = np.uint64
 
 
@@ -85,7 +85,7 @@ def choose(items: np.ndarray, at: np.ndarray):
         return (np.zeros(0, np.int64),) * 5
     starts = c.ranges(at[rows], lengths[rows])
     row = np.repeat(rows, lengths[rows])
-    key, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    key, place, running = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64), _running(items)
     todo = np.arange(len(starts))
     for k, (sym, pos, first, last) in reversed(list(enumerate(levels(items, at)))):
         s = starts[todo]
@@ -104,7 +104,8 @@ def choose(items: np.ndarray, at: np.ndarray):
                 own = step == d
                 best[own] = np.minimum(table[d][a[own]], table[d][b[own] - (1 << d)])
             best = (best & _U((1 << int(bits)) - 1)).astype(np.int64)
-            key[todo[ok]], place[todo[ok]] = name[best], pos[best]
+            # all words the symbol depends on are in the window: the key names them too
+            key[todo[ok]], place[todo[ok]] = name[best] ^ _between(running, first[best], last[best] + 1), pos[best]
         todo = todo[~ok]
         if not len(todo):
             break
@@ -144,22 +145,19 @@ def _anchors(it):
 def _extract(it):
     """Both hashes of every window of the wanted regions."""
     for batch in it:
-        data, offsets = c.text_buffer(batch.column(2))
         owner, x = repeats.listed(batch.column(3))
-        for i, j in c.runs(offsets):
-            raw, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for i, j, raw, cut in c.inflated(batch.column(2)):
             starts, ends, at = c.words(raw, cut)
             a, b = np.searchsorted(owner, [i, j])
             if a == b:
                 continue
             r, part = owner[a:b], {k: v[a:b] for k, v in x.items()}
-            size = part["hi"].astype(np.int64) - part["lo"] + 1
-            s = c.ranges(at[r - i] + part["lo"], size)
+            lo, _, hi = repeats.unplaced(part["place"])
+            s = c.ranges(at[r - i] + lo, hi - lo + 1)
             h1, h2 = (_between(_running(_second(c.span_hash(raw, starts, ends, t))), s, s + WINDOW).view(np.int64) for t in (1, 0))
-            k = np.repeat(np.arange(len(r)), size)
-            take = pa.array(r[k])
-            lo = (s - at[r[k] - i]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part["key"][k]), batch.column(0).take(take), batch.column(1).take(take), pa.array(part["pos"][k]), pa.array(lo), pa.array(part["n"][k]), pa.array(part["many"][k]), pa.array(h1), pa.array(h2)], names=[n.split()[0] for n in EXTRACTED.split(", ")])
+            row = np.repeat(r, hi - lo + 1)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((s - at[row - i]).astype(np.int32)), pa.array(h1), pa.array(h2)], names=[n.split()[0] for n in EXTRACTED.split(", ")])
 
 
 def _marks(parts: DataFrame) -> DataFrame:
@@ -174,10 +172,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 def _kept(batch: pa.RecordBatch):
     """Per run of rows: first, end, words by row, words removed by row, kept words joined by a space and where rows are in it."""
-    data, offsets = c.text_buffer(batch.column(1))
     owner, x = repeats.listed(batch.column(2))
-    for i, j in c.runs(offsets):
-        raw, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, j, raw, cut in c.inflated(batch.column(1)):
         starts, ends, at = c.words(raw, cut)
         a, b = np.searchsorted(owner, [i, j])
         if b > a:

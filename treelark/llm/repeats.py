@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-ANCHOR = "key long, h1 long, h2 long, doc_id long, rk long, pos int, lo int, hi int"
+#: place holds lo, pos - lo and hi - lo in 43, 10 and 10 bits: windows are of under 1,024 items.
+ANCHOR = "key long, h1 long, h2 long, doc_id long, rk long, place long"
 MARK = "doc_id long, rk long, lo int, hi int"
 
 
@@ -35,43 +36,57 @@ def keyed(docs: DataFrame) -> DataFrame:
 def anchor_batch(doc_id: pa.Array, rk: pa.Array, row: np.ndarray, key, h1, h2, pos, lo, hi) -> pa.RecordBatch:
     """row: each anchor's row in the batch; positions are within the row."""
     at = pa.array(row)
-    i32, i64 = (lambda x: pa.array(x.astype(np.int32))), (lambda x: pa.array(x.view(np.int64)))
-    return pa.RecordBatch.from_arrays([i64(key), i64(h1), i64(h2), doc_id.take(at).cast(pa.int64()), rk.take(at), i32(pos), i32(lo), i32(hi)], names=[x.split()[0] for x in ANCHOR.split(", ")])
+    i64 = lambda x: pa.array(x.view(np.int64))
+    return pa.RecordBatch.from_arrays([i64(key), i64(h1), i64(h2), doc_id.take(at).cast(pa.int64()), rk.take(at), pa.array((lo << 20) | (pos - lo) << 10 | (hi - lo))], names=[x.split()[0] for x in ANCHOR.split(", ")])
+
+
+def _lo(place):
+    return F.shiftright(place, 20).cast("int")
+
+
+def _hi(place):
+    return (F.shiftright(place, 20) + place.bitwiseAND(1023)).cast("int")
+
+
+def unplaced(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lo, pos and hi."""
+    lo = place >> 20
+    return lo, lo + (place >> 10 & 1023), lo + (place & 1023)
 
 
 def find(docs: DataFrame, anchors: Callable, extract: Callable, extracted: str, compare: Callable[[DataFrame], DataFrame], earlier: bool) -> DataFrame:
     """Marks (window starts lo..hi by row) of the windows that occur elsewhere; with earlier, in a smaller doc_id.
 
-    anchors: batches of keyed rows to batches of ANCHOR. extract: batches of keyed rows with a list of wanted regions to
-    rows (key, doc_id, rk, pos, lo, hi, n, many, ...) of schema extracted. compare: such rows to marks.
+    anchors: batches of keyed rows to batches of ANCHOR. extract: batches (doc_id, rk, z, list of wanted regions x) to rows
+    of schema extracted. compare: such rows to marks. Rows that are repeated whole hold only regions that are repeated
+    whole, so that their being extracted twice changes nothing.
     """
     rows = keyed(docs)
     if earlier:
         rows = rows.where("doc_id IS NOT NULL")
     every = c.written(rows.mapInArrow(anchors, ANCHOR), "anchors")
-    shared = every.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("c > 1 AND a < b" if earlier else "c > 1").select("key")
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     some = c.written(every.join(shared, "key", "left_semi"), "shared")
     c.dropped(every)
-    regions = c.written(some.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rk", "pos", "lo", "hi")).alias("r"), F.min("doc_id").alias("first")), "regions")
+    regions = c.written(some.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rk", "place")).alias("r"), F.min("doc_id").alias("first")), "regions")
 
     whole = regions.where("n > 1").select("key", "h1", "h2", "first")
     full = some.join(whole, ["key", "h1", "h2"])
-    full = (full.where("doc_id > first") if earlier else full).select("doc_id", "rk", "lo", "hi")
+    full = (full.where("doc_id > first") if earlier else full).select("doc_id", "rk", _lo(F.col("place")).alias("lo"), _hi(F.col("place")).alias("hi"))
 
     several = regions.groupBy("key").agg(F.count("*").alias("many"), F.min("first").alias("a"), F.max("first").alias("b")).where("many > 1 AND a < b" if earlier else "many > 1").select("key", "many")
-    wanted = regions.join(several, "key").select("r.doc_id", "r.rk", F.struct("key", F.col("n").cast("int").alias("n"), F.col("many").cast("int").alias("many"), "r.pos", "r.lo", "r.hi").alias("x"))
+    wanted = regions.join(several, "key").select("r.doc_id", "r.rk", F.struct("key", F.col("n").cast("int").alias("n"), F.col("many").cast("int").alias("many"), "r.place").alias("x"))
     wanted = wanted.groupBy("doc_id", "rk").agg(F.collect_list("x").alias("x"))
-    texts = rows.alias("d").join(wanted.alias("w"), F.col("d.rk").eqNullSafe(F.col("w.rk")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    # repeated rows hold the same regions; one of them is enough
-    parts = c.written(texts.select("d.doc_id", "d.rk", "d.text", "w.x").mapInArrow(extract, extracted).dropDuplicates(["doc_id", "rk", "key", "pos", "lo"]), "parts")
+    texts = c.deflated(rows).alias("d").join(wanted.alias("w"), F.col("d.rk").eqNullSafe(F.col("w.rk")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    parts = c.written(texts.select("d.doc_id", "d.rk", "d.z", "w.x").mapInArrow(extract, extracted), "parts")
     return full.unionByName(compare(parts))
 
 
 def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every row of docs with the list x of its marks (null: none)."""
+    """Every row of docs (doc_id, z as by deflated) with the list x of its marks (null: none)."""
     by_row = marks.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
-    d, m = keyed(docs).alias("d"), by_row.alias("m")
-    return d.join(m, F.col("d.rk").eqNullSafe(F.col("m.rk")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.doc_id", "d.text", "m.x")
+    d, m = c.deflated(keyed(docs)).alias("d"), by_row.alias("m")
+    return d.join(m, F.col("d.rk").eqNullSafe(F.col("m.rk")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.doc_id", "d.z", "m.x")
 
 
 def listed(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:

@@ -79,15 +79,19 @@ def _anchors(it):
 
 def _extract(it):
     for batch in it:
-        data, offsets = c.text_buffer(batch.column(2))
-        row, x = repeats.listed(batch.column(3))
-        for i in range(0, len(row), BATCH):
-            r, part = row[i : i + BATCH], {k: v[i : i + BATCH] for k, v in x.items()}
-            length = part["hi"].astype(np.int64) + WINDOW - part["lo"]
-            raw = data[c.ranges(offsets[r] + part["lo"], length)]
-            at = pa.array(r)
-            body = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(c.prefix(length).astype(np.int32)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(part["key"]), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(part[k]) for k in ("pos", "lo", "hi", "n", "many")), body], names=[n.split()[0] for n in EXTRACTED.split(", ")])
+        owner, x = repeats.listed(batch.column(3))
+        for i, j, data, offsets in c.inflated(batch.column(2)):
+            a, b = np.searchsorted(owner, [i, j])
+            r, part = owner[a:b], {k: v[a:b] for k, v in x.items()}
+            lo, pos, hi = repeats.unplaced(part["place"])
+            for k in range(0, len(r), BATCH):
+                some = slice(k, k + BATCH)
+                length = hi[some] + WINDOW - lo[some]
+                raw = data[c.ranges(offsets[r[some] - i] + lo[some], length)]
+                at = pa.array(r[some])
+                body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(c.prefix(length).astype(np.int32)), pa.py_buffer(raw)])
+                ints = [pa.array(v[some].astype(np.int32)) for v in (pos, lo, hi, part["n"], part["many"])]
+                yield pa.RecordBatch.from_arrays([pa.array(part["key"][some]), batch.column(0).take(at), batch.column(1).take(at), *ints, body], names=[n.split()[0] for n in EXTRACTED.split(", ")])
 
 
 class BlindTrie:
@@ -270,12 +274,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 def _cut(it):
     for batch in it:
-        data, offsets = c.text_buffer(batch.column(1))
         row, x = repeats.listed(batch.column(2))
-        if not x:
-            x = {"lo": np.zeros(0, np.int32), "hi": np.zeros(0, np.int32)}
-        for i, j in c.runs(offsets):
-            raw, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for i, j, raw, at in c.inflated(batch.column(1)):
             a, b = np.searchsorted(row, [i, j])
             begin = at[row[a:b] - i]
             gone = repeats.spans(begin + x["lo"][a:b], begin + x["hi"][a:b], WINDOW, len(raw))
@@ -299,11 +299,9 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def _keep(it):
     for batch in it:
-        data, offsets = c.text_buffer(batch.column(1))
         row, x = repeats.listed(batch.column(2))
         texts = []
-        for k in range(len(batch)):
-            raw = data[offsets[k] : offsets[k + 1]]
+        for k, _, raw, _ in c.inflated(batch.column(1), 0):
             a, b = np.searchsorted(row, [k, k + 1])
             gone = repeats.spans(x["lo"][a:b].astype(np.int64), x["hi"][a:b].astype(np.int64), WINDOW, len(raw)) if b > a else np.zeros(len(raw), bool)
             texts.append(raw[~gone].tobytes())
