@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, maxent, mixing, quality, recompress, suffixes, tokenfile
+from . import bpe, exact, maxent, mixing, near, quality, recompress, suffixes, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": recompress.op3_substring_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_near_dedup": near.op5_near_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_lm_scoring": maxent.op8_lm_scoring,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL}
+SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op5_near_dedup": near.OP5_SQL}
 
 
 def queries() -> dict:
