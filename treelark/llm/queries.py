@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, maxent, mixing, near, quality, recompress, suffixes, tokenfile
+from . import bpe, exact, maxent, mixing, near, quality, recompress, secrets, suffixes, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": recompress.op3_substring_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_near_dedup": near.op5_near_dedup,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_lm_scoring": maxent.op8_lm_scoring,
     "op9_token_file": tokenfile.op9_token_file,
