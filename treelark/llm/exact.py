@@ -125,7 +125,7 @@ def index(history: DataFrame, shards: int) -> DataFrame:
     return history.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))).groupBy("shard").applyInArrow(_build, "shard long, slots binary")
 
 
-_OUT = "doc_id long, digest string, keep long, n long"
+_OUT = "doc_id long, rk long, digest string, keep long, n long"
 
 
 def _look_up(it):
@@ -135,26 +135,26 @@ def _look_up(it):
         edges = np.flatnonzero(np.append(True, (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]))).tolist() if len(shards) else []
         for i, j in zip(edges, [*edges[1:], len(shards)]):
             if kinds[i] == 0:
-                hashed, shard = PerfectHash.from_bytes(batch.column(5)[i].as_py()), shards[i]
+                hashed, shard = PerfectHash.from_bytes(batch.column(6)[i].as_py()), shards[i]
                 continue
             part = batch.slice(i, j - i)
             if shard == shards[i]:
-                at = hashed.find(_unhex(part.column(4)))
+                at = hashed.find(_unhex(part.column(5)))
                 got = at >= 0
                 keep, n = hashed.locator[at], hashed.count[at]
                 keep, n = pa.array(keep, mask=~got | (keep == -1 << 62)), pa.array(n, mask=~got)
             else:
                 keep = n = pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), keep, n], names=["doc_id", "digest", "keep", "n"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (3, 4, 5)), keep, n], names=["doc_id", "rk", "digest", "keep", "n"])
 
 
 def look_up(rows: DataFrame, slots: DataFrame, shards: int) -> DataFrame:
-    """rows(doc_id, digest) with keep and n of the historical digest, null for nonmembers."""
+    """rows(doc_id, rk, digest) with keep and n of the historical digest, null for nonmembers."""
     n = F.pmod(F.xxhash64("digest"), F.lit(shards))
     sizes = rows.groupBy(n.alias("shard")).count()
     parts = sizes.select("shard", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    spread = rows.select(n.alias("shard"), "doc_id", "digest").join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "digest", F.lit(None).cast("binary").alias("slots"))
-    copies = slots.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("digest"), "slots")
+    spread = rows.select(n.alias("shard"), "doc_id", "rk", "digest").join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "rk", "digest", F.lit(None).cast("binary").alias("slots"))
+    copies = slots.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rk"), F.lit(None).cast("string").alias("digest"), "slots")
     return spread.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(_look_up, _OUT)
 
 
@@ -166,7 +166,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     history, group_size counts its rows too and keep_id may name one of them.
     """
     spark = docs.sparkSession
-    rows = c.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
+    rows = c.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.row_key().alias("rk"), digest(F.col("text")).alias("digest")), "digests")
     new = rows
     if history is None:
         middle = rows.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0]
@@ -180,12 +180,12 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     keep = F.least("keep", "later")
     return (
         found.join(later, "digest", "left")
-        .select("doc_id", keep.alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+        .select("doc_id", "rk", keep.alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
     )
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(c.documents(spark, sf_dir))
+    return exact_dedup(c.documents(spark, sf_dir)).drop("rk")
 
 
 OP4_SQL = f"""

@@ -41,15 +41,17 @@ def topic() -> Column:
     )
 
 
+def axes(topics: Column | None = None) -> list[Column]:
+    """The three categories of a row."""
+    blank = F.lit("(null)")
+    named = (F.col("source"), F.col("lang"), topic() if topics is None else topics)
+    return [F.coalesce(x.cast("string"), blank).alias(a) for x, a in zip(named, AXES)]
+
+
 def cells_of(docs: DataFrame, topics: Column | None = None) -> DataFrame:
     """doc_id, the three categories and tokens of each row of docs(doc_id, text, source, lang)."""
-    blank = F.lit("(null)")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), blank).alias("source_c"), F.coalesce(F.col("lang").cast("string"), blank).alias("lang_c"),
-        F.coalesce((topic() if topics is None else topics).cast("string"), blank).alias("topic_c"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(c.WORD)).cast("long").alias("n_tokens"),
-    )
+    count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(c.WORD)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *axes(topics), count.alias("n_tokens"))
 
 
 def targets(natural: dict, wanted: dict | None) -> dict:
@@ -121,36 +123,52 @@ def _rake_far(cells: DataFrame, wanted: dict[str, dict | None], part: float) ->
     return now.withColumn("p", F.least(F.lit(1.0), high * F.col("share") / F.col("tokens"))).select(*AXES, "share", "p")
 
 
+def fit(rows: DataFrame, source: dict | None = None, lang: dict | None = None, topic_: dict | None = None, part: float = KEEP, cells_limit: int = CELLS) -> DataFrame:
+    """Share and probability p of each cell with tokens of rows(*AXES, n_tokens)."""
+    spark = rows.sparkSession
+    wanted = dict(zip(AXES, (source, lang, topic_)))
+    cells = c.written(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
+    many = cells.count()
+    schema = ", ".join(f"{a} string" for a in AXES) + ", share double, p double"
+    if many > cells_limit:
+        return c.written(_rake_far(cells, wanted, part), "fitted")
+    if not many:
+        return spark.createDataFrame([], schema)
+    table = cells.toPandas().sort_values(list(AXES), ignore_index=True)
+    tokens = table["tokens"].to_numpy(float)
+    codes, goals = [], []
+    for axis in AXES:
+        names, code = np.unique(table[axis].to_numpy(str), return_inverse=True)
+        goal = targets(dict(zip(names.tolist(), np.bincount(code, tokens).tolist())), wanted[axis])
+        codes.append(code)
+        goals.append(np.array([goal.get(x, 0.0) for x in names.tolist()]))
+    share = rake(tokens, codes, goals)
+    table["share"], table["p"] = share, scale(tokens, share, part)
+    return spark.createDataFrame(table[[*AXES, "share", "p"]], schema)
+
+
+def chosen(p: Column, seed: int = 42) -> Column:
+    """Whether a doc_id's draw, the same at every size and time, lies under p (1 for cells without tokens)."""
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return draw < F.coalesce(p, F.lit(1.0))
+
+
 def mix(docs: DataFrame, source: dict | None = None, lang: dict | None = None, topic_: dict | None = None, part: float = KEEP, topics: Column | None = None, seed: int = 42, cells_limit: int = CELLS) -> DataFrame:
     """doc_id, source_c, lang_c, topic_c, n_tokens, share (of its cell), p and kept of each row of docs.
 
     source, lang, topic_: target shares by category; None takes the natural ones, flattened.
     """
-    spark = docs.sparkSession
     rows = c.written(cells_of(docs, topics), "mix")
-    wanted = dict(zip(AXES, (source, lang, topic_)))
-    cells = rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    cells = c.written(cells, "cells")
-    many = cells.count()
-    schema = ", ".join(f"{a} string" for a in AXES) + ", share double, p double"
-    if many > cells_limit:
-        fitted = _rake_far(cells, wanted, part)
-    elif not many:
-        fitted = spark.createDataFrame([], schema)
-    else:
-        table = cells.toPandas().sort_values(list(AXES), ignore_index=True)
-        tokens = table["tokens"].to_numpy(float)
-        codes, goals = [], []
-        for axis in AXES:
-            names, code = np.unique(table[axis].to_numpy(str), return_inverse=True)
-            goal = targets(dict(zip(names.tolist(), np.bincount(code, tokens).tolist())), wanted[axis])
-            codes.append(code)
-            goals.append(np.array([goal.get(x, 0.0) for x in names.tolist()]))
-        share = rake(tokens, codes, goals)
-        table["share"], table["p"] = share, scale(tokens, share, part)
-        fitted = spark.createDataFrame(table[[*AXES, "share", "p"]], schema)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return rows.join(fitted, list(AXES), "left").select("doc_id", *AXES, "n_tokens", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("p", F.lit(1.0)).alias("p"), (draw < F.coalesce("p", F.lit(1.0))).alias("kept"))
+    fitted = fit(rows, source, lang, topic_, part, cells_limit)
+    return rows.join(fitted, list(AXES), "left").select("doc_id", *AXES, "n_tokens", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("p", F.lit(1.0)).alias("p"), chosen(F.col("p"), seed).alias("kept"))
+
+
+def sampled(docs: DataFrame, part: float = KEEP, topics: Column | None = None, seed: int = 42) -> DataFrame:
+    """The rows of docs that mix() keeps, with all their columns: only cells are joined, texts stay where they are."""
+    rows = c.written(cells_of(docs, topics), "mix")
+    fitted = fit(rows, part=part)
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", *axes(topics))
+    return packed.join(fitted, list(AXES), "left").where(chosen(F.col("p"), seed)).select("_row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -66,13 +66,26 @@ def _measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     ]
 
 
+def rejected(of):
+    """(by the base rule, by the method's limits), of columns or of arrays: of(name) gives either. Shares are compared as
+    whole numbers, so no rounding takes part."""
+    base = (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
+    bad = (100 * of("n_dup_lines") > LINES * of("n_lines")) | (100 * of("dup_line_chars") > LINE_CHARS * of("line_chars"))
+    for n, limit in LIMITS.items():
+        bad |= 100 * of(f"dup_chars_{n}") > limit * of("word_chars")
+    return base, bad
+
+
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_LENGTHS = (WINDOW, *(n for n in LIMITS if n != WINDOW))
+
+
 def _batches(it):
-    lengths = (WINDOW, *(n for n in LIMITS if n != WINDOW))
     for batch in it:
         data, offsets = c.text_buffer(batch.column(1))
         for i, j in c.runs(offsets):
-            columns = _measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lengths)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), *map(pa.array, columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            columns = _measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _LENGTHS)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), *map(pa.array, columns)], names=_NAMES)
 
 
 def repetition(docs: DataFrame) -> DataFrame:
@@ -81,14 +94,29 @@ def repetition(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(measures: DataFrame) -> DataFrame:
-    """Adds base_failed and kept. Shares are compared as whole numbers, so no rounding takes part."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    bad = (100 * F.col("n_dup_lines") > LINES * F.col("n_lines")) | (100 * F.col("dup_line_chars") > LINE_CHARS * F.col("line_chars"))
-    for n, limit in LIMITS.items():
-        bad |= 100 * F.col(f"dup_chars_{n}") > limit * F.col("word_chars")
+    """Adds base_failed and kept."""
+    base, bad = rejected(F.col)
     return measures.withColumn("base_failed", base).withColumn("kept", ~(base | bad))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(it):
+        for batch in it:
+            data, offsets = c.text_buffer(batch.column(at))
+            keep = []
+            for i, j in c.runs(offsets):
+                found = dict(zip(_NAMES[1:], _measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _LENGTHS)))
+                base, bad = rejected(found.__getitem__)
+                keep.append(~(base | bad))
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     return verdicts(repetition(docs))
 
