@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -40,6 +40,34 @@ def tokens(text: Column, keep_stopwords: bool = False) -> Column:
     return found if keep_stopwords else F.filter(found, lambda x: ~x.isin(k.STOPWORDS))
 
 
+#: A fragment that isn't one plain word.
+STRUCTURED = r"_|[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
+
+
+def token_rows(rows: DataFrame, keep: list[str], text: str, out: str = "term") -> DataFrame:
+    """keep and one row per token of the column text, in no order: fragments are exploded first, so that plain words, nearly
+    all of them, stay in generated code and only structured ones are split further. Stopwords are left in."""
+    w = F.col("_w")
+    fragments = rows.select(*keep, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z0-9_]+")).alias("_w")).where(F.length(w) >= 2)
+    parts = split_identifier(w)
+    more = (F.size(parts) > 1) | ((F.size(parts) == 1) & (parts[0] != F.lower(w)))
+    each = F.when(w.rlike(STRUCTURED), F.concat(F.array(F.lower(w)), F.when(more, parts).otherwise(F.array().cast("array<string>")))).otherwise(F.array(F.lower(w)))
+    return fragments.select(*keep, F.explode(each).alias(out))
+
+
+def plain_tokens(text: str, keep_stopwords: bool = False) -> list[str]:
+    """tokens() of a driver's string: a query, not data."""
+    out = []
+    for fragment in re.split(r"[^A-Za-z0-9_]+", unicodedata.normalize("NFC", text)):
+        if len(fragment) < 2:
+            continue
+        parts = [p.lower() for p in re.split(IDENT_BREAK, fragment) if len(p) >= 2]
+        out.append(fragment.lower())
+        if len(parts) > 1 or (parts and parts[0] != fragment.lower()):
+            out += parts
+    return out if keep_stopwords else [x for x in out if x not in k.STOPWORDS]
+
+
 def dirname(path: Column) -> Column:
     """The directory of a path, '.' for none."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))

@@ -117,7 +117,7 @@ def import_bindings(files: DataFrame) -> DataFrame:
     py = stripped(files.where(ext_is(".py")))
     p = r"(?m)^\s*from\s+(\.[\w.]*)\s+import\s+\(?([\w\s,*]+?)\)?\s*$"
     m = py.select("file", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m"))
-    rows.append(m.select("file", F.regexp_extract("m", p, 1).alias("path"), F.explode(F.filter(F.transform(F.split(F.regexp_extract("m", p, 2), ","), F.trim), lambda x: x != "")).alias("symbol")))
+    rows.append(m.select("file", F.regexp_extract("m", p, 1).alias("path"), F.explode(F.filter(F.transform(F.split(F.regexp_extract("m", p, 2), ","), lambda s: F.trim(s)), lambda x: x != "")).alias("symbol")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -155,11 +155,11 @@ def data_models(files: DataFrame) -> DataFrame:
     js = stripped(files.where(ext_is(".ts", ".tsx")))
     p = r"(?s)\b(?:interface|class|type)\s+([A-Z]\w*)[^{;=]*=?\s*\{([^{}]*)\}"
     m = js.select("file", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m"))
-    field = r"(?m)^\s*(?:readonly\s+|public\s+|private\s+)*([A-Za-z_]\w*\??\s*:\s*[^;,\n]{1,40})"
-    ts = m.select("file", F.regexp_extract("m", p, 1).alias("name"), F.slice(F.transform(F.regexp_extract_all(F.regexp_extract("m", p, 2), F.lit(field), F.lit(1)), F.trim), 1, k.CAPS["model_fields"]).alias("fields"))
+    field = r"(?:^|[;\n])\s*(?:readonly\s+|public\s+|private\s+)*([A-Za-z_]\w*\??\s*:\s*[^;,\n]{1,40})"
+    ts = m.select("file", F.regexp_extract("m", p, 1).alias("name"), F.slice(F.transform(F.regexp_extract_all(F.regexp_extract("m", p, 2), F.lit(field), F.lit(1)), lambda s: F.trim(s)), 1, k.CAPS["model_fields"]).alias("fields"))
     q = r"(?m)^(?:@(?:dataclass|attr\.s|define)[^\n]*\n)?class\s+([A-Z]\w*)[^\n]*:\n((?:[ \t]+[^\n]*\n|\n)+)"
     n = files.where(ext_is(".py")).select("file", F.explode(F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(q), F.lit(0))).alias("m"))
-    py = n.select("file", F.regexp_extract("m", q, 1).alias("name"), F.slice(F.transform(F.regexp_extract_all(F.regexp_extract("m", q, 2), F.lit(r"(?m)^[ \t]+([a-z_]\w*\s*:\s*[^=\n#]{1,40})"), F.lit(1)), F.trim), 1, k.CAPS["model_fields"]).alias("fields"))
+    py = n.select("file", F.regexp_extract("m", q, 1).alias("name"), F.slice(F.transform(F.regexp_extract_all(F.regexp_extract("m", q, 2), F.lit(r"(?m)^[ \t]+([a-z_]\w*\s*:\s*[^=\n#]{1,40})"), F.lit(1)), lambda s: F.trim(s)), 1, k.CAPS["model_fields"]).alias("fields"))
     return ts.unionByName(py).where(F.size("fields") > 0)
 
 

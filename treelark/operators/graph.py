@@ -142,7 +142,8 @@ def proximity(edges: DataFrame, seeds: DataFrame, hops: int = k.PROXIMITY_HOPS)
     """(dir, hops, prox = 1 / (1 + hops)) of directories within hops of seeds(dir), edges taken both ways."""
     both = edges.select(F.col("from_dir").alias("a"), F.col("to_dir").alias("b")).unionByName(edges.select(F.col("to_dir").alias("a"), F.col("from_dir").alias("b"))).distinct()
     state: dict = {}
-    seen = seeds.select("dir", F.lit(0).alias("hops")).distinct()
+    both = _cut(both, state)  # directories and their edges: read once, whatever the hops
+    seen = _cut(seeds.select("dir", F.lit(0).alias("hops")).distinct(), state)
     frontier = seen
     for h in range(1, hops + 1):
         step = frontier.join(both, F.col("dir") == F.col("a")).select(F.col("b").alias("dir")).distinct().join(seen.select("dir"), "dir", "left_anti").withColumn("hops", F.lit(h))

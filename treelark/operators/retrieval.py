@@ -9,19 +9,23 @@ from .. import constants as k
 from ..functions import text as t
 
 
+def zone_tokens(docs: DataFrame, zones: list[str]) -> DataFrame:
+    """(scope, zone, term), a row per token, from one scan of the text columns zones; stopwords stay in symbols only."""
+    each = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.col(z).alias("body")) for z in zones)))
+    rows = t.token_rows(docs.select("scope", each.alias("z")).select("scope", "z.zone", "z.body"), ["scope", "zone"], "body")
+    return rows.where((F.col("zone") == "symbols") | ~F.col("term").isin(k.STOPWORDS))
+
+
 def zone_terms(docs: DataFrame, zones: list[str]) -> DataFrame:
-    """(scope, zone, term, tf) of the text columns zones. One exploding pass; counts are combined before the shuffle."""
-    parts = [docs.select("scope", F.lit(z).alias("zone"), F.explode(t.tokens(F.col(z), keep_stopwords=z == "symbols")).alias("term")) for z in zones]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("scope", "zone", "term").agg(F.count("*").alias("tf"))
+    """(scope, zone, term, tf). Counts are combined before the shuffle."""
+    return zone_tokens(docs, zones).groupBy("scope", "zone", "term").agg(F.count("*").alias("tf"))
 
 
 def zone_lengths(docs: DataFrame, zones: list[str]) -> DataFrame:
     """(scope, zone, length), also of empty zones."""
-    sizes = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.size(t.tokens(F.col(z), z == "symbols")).cast("long").alias("length")) for z in zones)))
-    return docs.select("scope", sizes.alias("z")).select("scope", "z.zone", "z.length")
+    found = zone_tokens(docs, zones).groupBy("scope", "zone").agg(F.count("*").alias("length"))
+    every = docs.select("scope", F.explode(F.array(*map(F.lit, zones))).alias("zone"))
+    return every.join(found, ["scope", "zone"], "left").select("scope", "zone", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
 
 
 def zone_averages(lengths: DataFrame) -> DataFrame:
@@ -38,33 +42,34 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def query_tokens(spark, query: str) -> DataFrame:
-    """(term, times): repeated tokens count repeatedly."""
-    return spark.range(1).select(F.explode(t.tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-
-
 def bm25(docs: DataFrame, zones: list[str], query: str) -> DataFrame:
-    """(scope, score) of documents with a positive score.
+    """(scope, score) of documents with a positive score; repeated query tokens count repeatedly.
 
-    The query's terms, a handful, are broadcast against the token stream, so that only matching tokens reach a shuffle;
-    lengths come from the same scan, one row per document.
+    One pass over the texts: tokens are counted where they are made, per document and zone, in all and for each of the
+    query's terms, a handful of columns. Only these counts are shuffled, and the same shuffle serves the averages and the
+    scores.
     """
-    spark = docs.sparkSession
-    wanted = F.broadcast(query_tokens(spark, query))  # bounded by the query's length
-    sizes = docs.select("scope", *(F.size(t.tokens(F.col(z), z == "symbols")).alias(z) for z in zones))
-    stats = sizes.agg(F.count("*").alias("n"), *(F.avg(z).alias(f"avg_{z}") for z in zones))
-    hits = zone_terms(docs, zones).join(wanted, "term")
-    df = F.broadcast(hits.groupBy("term").agg(F.countDistinct("scope").alias("df")))  # at most the query's terms
-    per = hits.join(df, "term").join(sizes, "scope").crossJoin(F.broadcast(stats))  # one row
-    length, average, weight = F.lit(0.0), F.lit(1.0), F.lit(0.0)
-    for z in zones:
-        own = F.col("zone") == z
-        length, weight = F.when(own, F.col(z)).otherwise(length), F.when(own, k.ZONE_WEIGHTS[z]).otherwise(weight)
-        average = F.when(own, F.when(F.col(f"avg_{z}") > 0, F.col(f"avg_{z}")).otherwise(1.0)).otherwise(average)
-    tf = F.col("tf")
-    part = weight * tf * (k.K1 + 1) / (tf + k.K1 * (1 - k.B + k.B * length / average))
-    scored = per.groupBy("scope").agg(F.sum(F.col("times") * idf(F.col("df"), F.col("n")) * part).alias("score"))
-    return scored.where("score > 0")
+    wanted: dict[str, int] = {}
+    for w in t.plain_tokens(query):
+        wanted[w] = wanted.get(w, 0) + 1
+    terms = list(wanted)
+    if not terms:
+        return docs.select("scope", F.lit(0.0).alias("score")).where("false")
+    counts = zone_tokens(docs, zones).groupBy("scope", "zone").agg(F.count("*").alias("dl"), *(F.count_if(F.col("term") == w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    per = counts.groupBy("scope").agg(*(F.sum(F.when(F.col("zone") == z, F.col("dl"))).alias(f"dl_{j}") for j, z in enumerate(zones)), *(F.sum(F.when(F.col("zone") == z, F.col(f"tf{i}"))).alias(f"tf{i}_{j}") for i in range(len(terms)) for j, z in enumerate(zones)))
+    hit = lambda i: F.greatest(*(F.coalesce(F.col(f"tf{i}_{j}"), F.lit(0)) for j in range(len(zones))), F.lit(0)) > 0
+    n = docs.agg(F.count("*").alias("n"))
+    stats = per.agg(*(F.coalesce(F.sum(f"dl_{j}"), F.lit(0)).alias(f"sum_{j}") for j in range(len(zones))), *(F.count_if(hit(i)).alias(f"df{i}") for i in range(len(terms)))).crossJoin(F.broadcast(n))  # one row each
+    rows = per.where(F.greatest(*(hit(i) for i in range(len(terms))), F.lit(False))).crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        part = F.lit(0.0)
+        for j, z in enumerate(zones):
+            tf, dl = F.coalesce(F.col(f"tf{i}_{j}"), F.lit(0)), F.coalesce(F.col(f"dl_{j}"), F.lit(0))
+            average = F.when(F.col(f"sum_{j}") > 0, F.col(f"sum_{j}") / F.col("n")).otherwise(1.0)
+            part = part + k.ZONE_WEIGHTS[z] * tf * (k.K1 + 1) / (tf + k.K1 * (1 - k.B + k.B * dl / average))
+        score = score + wanted[w] * idf(F.col(f"df{i}"), F.col("n")) * part
+    return rows.select("scope", score.alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, limit: int, digits: int = 6) -> DataFrame:

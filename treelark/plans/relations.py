@@ -15,6 +15,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """documents; a table of fewer splits than cores is spread over them, since its texts cost more to work on than to
+        move. A large table has more splits than that and stays as it is."""
+        d = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return d if d.select("doc_id").rdd.getNumPartitions() >= cores else d.repartition(cores, "doc_id")
+
     def files(self) -> DataFrame:
         """file, dir, name, size, text, lang, doc_id."""
         d = self.table("documents")
@@ -25,7 +32,7 @@ class Tables:
         """One document record per row: scope and its zone texts."""
         text = F.coalesce(F.col("text"), F.lit(""))
         head = F.split(text, "\n").getItem(0)
-        return self.table("documents").select(F.col("doc_id").cast("string").alias("scope"), head.alias("summary"), F.substring(text, F.length(head) + 2, F.length(text)).alias("constraints"), F.concat_ws(" ", "source", "lang").alias("path"))
+        return self.texts().select(F.col("doc_id").cast("string").alias("scope"), head.alias("summary"), F.substring(text, F.length(head) + 2, F.length(text)).alias("constraints"), F.concat_ws(" ", "source", "lang").alias("path"))
 
     def symbols(self) -> DataFrame:
         """id, file, name, kind, exported."""
