@@ -29,7 +29,7 @@ from .pretokens import pieces
 
 #: Bytes of text whose new pieces are encoded together, and pieces kept in a worker's table.
 GROUP_BYTES = 16 << 20
-TABLE_PIECES = 1_500_000
+TABLE_PIECES = 1_200_000
 
 
 class BitmapQueue:
@@ -190,14 +190,14 @@ class PieceTable:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, (self.begin, self.count, self.ids) = np.zeros(0, np.uint64), (np.zeros(0, np.int32) for _ in range(3))
         if self.base is not None:  # a piece that is a token is that token
             whole = np.flatnonzero(self.base.length)
             self._merge(c.span_hash(self.base.flat, self.base.begin[whole], self.base.begin[whole] + self.base.length[whole]), whole, np.ones(len(whole), np.int64))
 
     def _merge(self, keys, ids, count) -> None:
-        begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, ids])
+        begin = (len(self.ids) + np.cumsum(count) - count).astype(np.int32)
+        self.ids, count = np.concatenate([self.ids, ids.astype(np.int32)]), count.astype(np.int32)
         keys, begin, count = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
         order = np.argsort(keys)
         self.keys, self.begin, self.count = keys[order], begin[order], count[order]
@@ -228,7 +228,7 @@ def groups(data: np.ndarray, offsets: np.ndarray, table: PieceTable):
             starts = pieces(raw, at)
             ends = np.append(starts[1:], len(raw)) if len(starts) else starts
             keys = c.span_hash(raw, starts, ends)
-            distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            distinct, first, inverse = c.distinct(keys)
             unknown = np.flatnonzero(table.missing(distinct))
             first = first[unknown]
             new.setdefault("keys", []).append(distinct[unknown])
@@ -238,7 +238,7 @@ def groups(data: np.ndarray, offsets: np.ndarray, table: PieceTable):
             parts.append((a, b, raw, at, starts, distinct, inverse))
         keys, flat, lengths = (np.concatenate(new[k]) for k in ("keys", "flat", "length"))
         if len(keys):
-            keys, first = np.unique(keys, return_index=True)
+            keys, first, _ = c.distinct(keys)
             begin = (np.cumsum(lengths) - lengths)[first]
             lengths = lengths[first]
             table.learn(keys, flat[c.ranges(begin, lengths)], np.append(0, np.cumsum(lengths)))

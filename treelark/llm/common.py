@@ -220,6 +220,17 @@ def twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, same, flag
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where one of each stands, and each key's place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], place
+
+
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n items lie in a run of length items from one of the (distinct) starts."""
     d = np.zeros(n + 1, np.int32)

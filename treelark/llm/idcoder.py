@@ -14,11 +14,13 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids per block; all arrays are a few KB per block of them.
-BLOCK = 4096
-_TOP, _LOW, _SLOTS2, _SLOTS1 = 13, 30, 2048, 1024
+BLOCK = 2048
+_TOP, _LOW, _SLOTS2, _SLOTS1 = 13, 30, 256, 256
 _BITS = np.array([0, 0, 0, 4, *range(4, 16)], np.uint64)  # low bits by symbol
-_FLOOR = np.array([0, 0, 0, 0, *(1 << k for k in range(4, 16))], np.int64)
-_GOAL = np.array([[k + 1 if k < s else (1 << _TOP) - 15 + k for k in range(16)] for s in range(16)], np.int16)
+_MOST = (np.uint64(1) << _BITS) - np.uint64(1)
+_FLOOR = np.array([0, 0, 0, 0, *(1 << k for k in range(4, 16))], np.int32)
+_GOAL = np.array([[k + 1 if k < s else (1 << _TOP) - 15 + k for k in range(16)] for s in range(16)], np.int16).view("V32").reshape(-1)
+_SURER = np.array([1 << 16, 2 << 16, 3 << 16, 3 << 16], np.int32)
 _MAGNITUDE = np.array([3 if x < 16 else x.bit_length() - 1 for x in range(1 << 16)], np.int64)
 
 
@@ -29,39 +31,59 @@ class _Lanes:
         self.n, self.lane = n, np.arange(n)
         self.slot2, self.slot1 = np.zeros(_SLOTS2 * n, np.int32), np.zeros(_SLOTS1 * n, np.int32)
         self.major, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.before, self.older, self.symbol = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, 3)
+        self.before, self.older, self.symbol = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 3)
         self.rows = np.tile(((np.arange(16) + 1) << (_TOP - 4)).astype(np.int16), (32 * n, 1)).view("V32").reshape(-1)
-        self.mixed = np.zeros((n, 17), np.int16)
-        self.flat = self.mixed.reshape(-1)
-        self.begin = self.lane * 17
+        self.ahead = self.lane * 16
 
     def predict(self):
         n, lane = self.n, self.lane
-        self.at2 = (((self.before * 40503 + self.older * 28411) >> 4) & (_SLOTS2 - 1)).astype(np.int64) * n + lane
-        self.at1 = (((self.before * 40503) >> 5) & (_SLOTS1 - 1)).astype(np.int64) * n + lane
-        self.two, self.one = self.slot2[self.at2], self.slot1[self.at1]
+        key = self.before * 40503
+        self.at1 = (key >> 5 & (_SLOTS1 - 1)) * n
+        self.at1 += lane
+        key += self.older * 28411
+        self.at2 = (key >> 4 & (_SLOTS2 - 1)) * n
+        self.at2 += lane
+        self.two, self.one = self.slot2.take(self.at2), self.slot1.take(self.at1)
         self.id2, self.id1 = self.two & 0xFFFF, self.one & 0xFFFF
         self.sure2, self.sure1 = self.two >> 16, self.one >> 16
-        self.ctx_a = (self.sure2 * 4 + self.sure1) * n + lane
-        self.ctx_b = (self.symbol + 16) * n + lane
+        self.ctx_a = (self.sure2 * 4 + self.sure1) * np.int64(n)
+        self.ctx_a += lane
+        self.ctx_b = (self.symbol + 16) * n
+        self.ctx_b += lane
         self.a, self.b = (self.rows.take(x).view(np.int16).reshape(n, 16) for x in (self.ctx_a, self.ctx_b))
-        mixed = self.a + self.b
-        mixed >>= 1
-        self.mixed[:, 1:] = mixed
+        self.mixed = self.a + self.b
+        self.mixed >>= 1
+        self.flat = self.mixed.reshape(-1)
+
+    def bounds(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a symbol's part of the mixed distribution begins, and its width."""
+        at = self.ahead + symbol
+        hi = self.flat.take(at)
+        at -= 1
+        lo = self.flat.take(at)
+        lo *= symbol > 0
+        hi -= lo
+        return lo.astype(np.uint64), hi.astype(np.uint64)
 
     def learn(self, x: np.ndarray, symbol: np.ndarray) -> None:
-        goal = _GOAL.take(symbol, 0)
+        """x as int32. A prediction's confidence grows while it holds; another id takes its place at once."""
+        goal = _GOAL.take(symbol).view(np.int16).reshape(-1, 16)
         for row, at, rate in ((self.a, self.ctx_a, 4), (self.b, self.ctx_b, 5)):
             change = goal - row
             change >>= rate
             row += change
             self.rows[at] = row.view("V32").reshape(-1)
-        self.slot2[self.at2] = np.where(x == self.id2, np.minimum(self.two + 0x10000, self.id2 | 0x30000), np.where(self.sure2 > 0, self.two - 0x10000, x))
-        self.slot1[self.at1] = np.where(x == self.id1, np.minimum(self.one + 0x10000, self.id1 | 0x30000), np.where(self.sure1 > 0, self.one - 0x10000, x))
-        self.votes += np.where(x == self.major, 1, -1)
+        two, one = x == self.id2, x == self.id1
+        self.slot2[self.at2] = _SURER.take(self.sure2) * two + x
+        self.slot1[self.at1] = _SURER.take(self.sure1) * one + x
+        held = x == self.major
+        self.votes += held
+        self.votes += held
+        self.votes -= 1
         lost = self.votes < 0
-        self.major[lost], self.votes[lost] = x[lost], 1
-        self.older, self.before, self.symbol = self.before, x, symbol
+        np.copyto(self.major, x, where=lost)
+        np.copyto(self.votes, 1, where=lost)
+        self.older, self.before, self.symbol = self.before, x.astype(np.int64), symbol
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +103,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for t in range(steps):
         x = table[t]
         model.predict()
-        symbol = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(x == model.major, 2, _MAGNITUDE[x])))
-        at = model.begin + symbol
-        lo, hi = model.flat[at].astype(np.uint64), model.flat[at + 1].astype(np.uint64)
-        bits = _BITS[symbol]
+        symbol = _MAGNITUDE.take(x)
+        symbol[x == model.major] = 2
+        symbol[x == model.id1] = 1
+        symbol[x == model.id2] = 0
+        lo, size = model.bounds(symbol)
         step = width >> top
         low += step * lo
-        width = (step * (hi - lo)) >> bits
-        low += width * np.where(symbol > 2, x - _FLOOR[symbol], 0).astype(np.uint64)
+        step *= size
+        width = step >> _BITS.take(symbol)
+        low += width * ((x - _FLOOR.take(symbol)) * (symbol > 2)).astype(np.uint64)
         out = np.flatnonzero(width < floor)
         if len(out):
             here = low[out]
@@ -131,15 +155,18 @@ def decode(digits: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         model.predict()
         step = width >> top
         value = np.minimum(code // step, np.uint64((1 << _TOP) - 1)).astype(np.int16)
-        below = (model.mixed[:, 1:] <= value[:, None]).view(np.uint64)
+        below = (model.mixed <= value[:, None]).view(np.uint64)
         symbol = (((below[:, 0] + below[:, 1]) * ones) >> np.uint64(56)).astype(np.int64)
-        where = model.begin + symbol
-        lo, hi = model.flat[where].astype(np.uint64), model.flat[where + 1].astype(np.uint64)
+        lo, size = model.bounds(symbol)
         code -= step * lo
-        width = (step * (hi - lo)) >> _BITS[symbol]
-        raw = np.where(symbol > 2, np.minimum(code // width, (np.uint64(1) << _BITS[symbol]) - np.uint64(1)), np.uint64(0))
+        step *= size
+        width = step >> _BITS.take(symbol)
+        raw = np.minimum(code // width, _MOST.take(symbol))
         code -= width * raw
-        x = np.where(symbol > 2, _FLOOR[symbol] + raw.astype(np.int64), np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, model.major))).astype(np.int32)
+        x = _FLOOR.take(symbol) + raw.astype(np.int32)
+        np.copyto(x, model.major, where=symbol == 2)
+        np.copyto(x, model.id1, where=symbol == 1)
+        np.copyto(x, model.id2, where=symbol == 0)
         out = np.flatnonzero(width < floor)
         if len(out):
             after = at[out]
