@@ -219,7 +219,7 @@ def test_extraction(spark):
     got = {(r.file, r.path): r.symbols for r in extract.import_bindings(files).collect()}
     assert got[("a.ts", "./m")] == ["A", "B as C"] and got[("a.ts", "./d")] == ["default as D"] and got[("b.py", ".pkg")] == ["one", "two"] and got[("a.ts", "./side")] == ["(side effect)"]
     assert rows(extract.exports(files)) == [("a.ts", "P"), ("a.ts", "run"), ("b.py", "public")]
-    assert rows(extract.internals(files)) == [("a.ts", "hidden"), ("b.py", "_private")]
+    assert rows(extract.internals(files)) == [("a.ts", "hidden"), ("a.ts", "k"), ("a.ts", "s"), ("b.py", "_private")]
     assert rows(extract.internal_dependencies(files)) == [("a.ts", "./d"), ("a.ts", "./m"), ("b.py", ".pkg")]
     assert rows(extract.data_models(files).select("name", F.array_join("fields", ";"))) == [("P", "id: string;n?: number")]
 
