@@ -62,7 +62,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     order = np.argsort(rows, kind="stable")
     key, rows = key[order], rows[order]
-    _, first = np.unique(key ^ c.mix(rows.astype(_U) + _U(1)), return_index=True)
+    _, first, _ = c.distinct(key ^ c.mix(rows.astype(_U) + _U(1)))
     first.sort()
     return key[first], rows[first]
 
@@ -70,8 +70,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 def sketch(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Registers (uint16) of the sets key[starts[i]:starts[i + 1]], none of them empty."""
     least = np.empty((len(starts), REGISTERS), np.float64)
+    moved = np.empty_like(key)
     for i in range(REGISTERS):
-        least[:, i] = np.minimum.reduceat(key * _FACTORS[i], starts)
+        np.multiply(key, _FACTORS[i], out=moved)
+        least[:, i] = np.minimum.reduceat(moved, starts)
     exponential = -np.log1p(-np.minimum((least + 1) / 2.0**64, 1 - 2.0**-53)) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
@@ -157,18 +159,22 @@ def _likely(threshold: float):
 def _crossed(threshold: float):
     """Likely pairs between components within groups (bucket, x, y); groups come sorted and are of bounded size."""
 
-    def group(rows: dict[str, np.ndarray], registers: np.ndarray):
-        for i in range(len(registers) - 1):
-            n, m = rows["n"][i], rows["n"][i + 1 :]
-            j = np.flatnonzero((rows["component"][i + 1 :] != rows["component"][i]) & (np.minimum(n, m) >= (threshold - 0.01) * np.maximum(n, m)))
-            if len(j):
-                j += i + 1
-                j = j[(registers[j] == registers[i]).mean(1) >= threshold - 2 * MARGIN]
-            if len(j):
-                n_a = np.full(len(j), n, float)
-                ok = estimate((registers[i] > registers[j]).sum(1), (registers[i] < registers[j]).sum(1), n_a, rows["n"][j].astype(float)) >= threshold - MARGIN
-                for q in j[ok].tolist():
-                    yield i, q
+    def group(n: np.ndarray, component: np.ndarray, registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different components, of sizes that allow the threshold, with many equal registers."""
+        left, right = [], []
+        step = max(1, (1 << 13) // len(n))  # rows compared at once, so that memory is bounded
+        for a in range(0, len(n), step):
+            some = slice(a, a + step)
+            ok = (component[some, None] != component[None, :]) & (np.minimum(n[some, None], n[None, :]) >= (threshold - 0.01) * np.maximum(n[some, None], n[None, :]))
+            i, j = np.nonzero(ok)
+            later = j > i + a
+            i, j = i[later] + a, j[later]
+            for q in range(0, len(i), 1 << 13):
+                x, y = i[q : q + (1 << 13)], j[q : q + (1 << 13)]
+                same = (registers[x] == registers[y]).sum(1) >= (threshold - 2 * MARGIN) * REGISTERS
+                left.append(x[same])
+                right.append(y[same])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
     def run(it):
         held: list = []
@@ -178,8 +184,15 @@ def _crossed(threshold: float):
             rows = {k: np.asarray(batch.column(i)) for i, k in enumerate(names)}
             registers = _registers(batch.column(7))
             cut = np.flatnonzero(np.append(True, (np.diff(rows["bucket"]) != 0) | (np.diff(rows["x"]) != 0) | (np.diff(rows["y"]) != 0))).tolist() + [len(registers)]
-            out = [(a + i, a + j) for a, b in zip(cut, cut[1:]) for i, j in group({k: v[a:b] for k, v in rows.items()}, registers[a:b])]
-            left, right = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+            found = [tuple(x + a for x in group(rows["n"][a:b], rows["component"][a:b], registers[a:b])) for a, b in zip(cut, cut[1:])]
+            left, right = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            good = []
+            for q in range(0, len(left), 1 << 14):
+                x, y = left[q : q + (1 << 14)], right[q : q + (1 << 14)]
+                likely = estimate((registers[x] > registers[y]).sum(1), (registers[x] < registers[y]).sum(1), rows["n"][x].astype(float), rows["n"][y].astype(float)) >= threshold - MARGIN
+                good.append(q + np.flatnonzero(likely))
+            good = np.concatenate(good) if good else np.zeros(0, np.int64)
+            left, right = left[good], right[good]
             return pa.RecordBatch.from_arrays([pa.array(rows[k][s]) for k, s in (("id", left), ("rk", left), ("id", right), ("rk", right))], names=["a", "ra", "b", "rb"])
 
         for batch in it:
@@ -265,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     own = F.pmod(F.xxhash64("id", "rk"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     spread = rest.select("bucket", own.alias("own"), other.alias("other"), "id", "rk", "n", "component").select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "rk", "n", "component")
-    spread = spread.join(nodes.select("id", "rk", "sketch"), ["id", "rk"]).select("bucket", "x", "y", "id", "rk", "n", "component", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    spread = spread.join(nodes.select("id", "rk", "sketch"), ["id", "rk"]).select("bucket", "x", "y", "id", "rk", "n", "component", "sketch").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     crossed = spread.mapInArrow(_crossed(threshold), "a long, ra long, b long, rb long").distinct()
     second = links(crossed)
     joined = component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
