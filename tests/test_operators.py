@@ -226,5 +226,5 @@ def test_extraction(spark):
 
 def test_constants_are_whole():
     assert len(k.STOPWORDS) == 32 or len(k.STOPWORDS) == len(set(k.STOPWORDS))
-    assert len(k.IGNORED_DIRS) == 29 and len(k.SPECIAL_FILES) == 12
+    assert len(k.IGNORED_DIRS) == 28 and len(k.SPECIAL_FILES) == 12
     assert re.match(scoring.PATH, "a/b.ts")

@@ -12,7 +12,7 @@ CAPS = {"exports": 25, "interfaces": 15, "imports": 20, "internals": 20, "depend
 
 IGNORED_DIRS = sorted(
     "vendor venv tmp temp target storybook-static out obj node_modules dist coverage build bower_components _site _build __pycache__ Pods "
-    ".vercel .venv .turbo .tox .svelte-kit .pytest_cache .nuxt .next .mypy_cache .git .cache .autocontext".split()
+    ".vercel .venv .turbo .tox .svelte-kit .pytest_cache .nuxt .next .mypy_cache .git .cache".split()
 )
 SPECIAL_FILES = sorted("setup.py setup.cfg pyproject.toml go.mod docker-compose.yml docker-compose.yaml Rakefile Makefile Gemfile Dockerfile Cargo.toml CMakeLists.txt".split())
 SOURCE_EXTENSIONS = sorted(

@@ -190,7 +190,7 @@ def config_facts(files: DataFrame) -> DataFrame:
     label = F.lit(None).cast("string")
     for n, v in known.items():
         label = F.when(base == n, v).otherwise(label)
-    facts = F.array_compact(F.array(label, F.when((base == "tsconfig.json") & text.rlike(r'"strict"\s*:\s*true'), "TypeScript strict"), F.when(base == ".nvmrc", F.concat(F.lit("node "), F.trim(text))), F.when(base == ".python-version", F.concat(F.lit("python "), F.trim(text)))))
+    facts = F.array_compact(F.array(label, F.when((base == "tsconfig.json") & text.rlike(r'"strict"\s*:\s*true'), "TypeScript strict"), F.when(base == ".nvmrc", F.concat(F.lit("node "), F.regexp_extract(text, r"\S+", 0))), F.when(base == ".python-version", F.concat(F.lit("python "), F.regexp_extract(text, r"\S+", 0)))))
     return files.select(t.dirname(F.col("file")).alias("dir"), F.explode(facts).alias("fact")).distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as k
 from ..functions import text as t
 
-JS_ENDINGS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
+JS_ENDINGS = tuple("ts tsx js jsx mjs cjs".split())
 
 
 def _cut(df: DataFrame, state: dict) -> DataFrame:
