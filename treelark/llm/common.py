@@ -7,6 +7,7 @@ columns the operator doesn't need are never looked at, so their names can't clas
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -69,6 +70,15 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a worker that is used again would keep it through other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string or binary column, without a copy."""
     if column.null_count:

@@ -34,7 +34,7 @@ BLOCK_BYTES = 16 << 20
 LANGS, BANDS = 8, (3e-3, 3e-4, 1e-5)
 RARE, END = LANGS * (len(BANDS) + 1), LANGS * (len(BANDS) + 1) + 1
 CLASSES = END + 1
-FEATURES, ROUNDS, BATCH, SLICES = 1 << 15, 2, 1 << 13, 16
+FEATURES, ROUNDS, BATCH, SLICES = 1 << 15, 2, 1 << 14, 16
 _U = np.uint64
 
 BLOCKS = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, ids binary, word binary, at int, c long, lang int, bucket int"
@@ -65,32 +65,41 @@ def _blocks(it):
                 starts.append(s + base)
                 ends.append(e + base)
                 cuts.append((a + i, b + i, cut))
-            key, start, end = (np.concatenate(x) for x in (keys, starts, ends))
-            distinct, first, inverse, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            rank = np.empty(len(distinct), np.int64)
-            rank[np.argsort(-size, kind="stable")] = np.arange(1, len(distinct) + 1)  # small numbers for frequent words
+            key, start, end = np.concatenate(keys), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
+            del keys, starts, ends
+            distinct, first, inverse = c.distinct(key)
+            del key
+            rank = np.empty(len(distinct), np.int32)
+            rank[np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")] = np.arange(1, len(distinct) + 1)  # small numbers for frequent words
             ids = rank[inverse]
-            by = np.zeros((len(distinct) + 1, LANGS), np.int64)
+            del inverse
+            by = np.zeros((len(distinct) + 1) * LANGS, np.int64)
             done = 0
             for a, b, cut in cuts:
                 n = np.diff(cut)
                 own = ids[done : done + cut[-1]]
                 done += int(cut[-1])
                 train = np.repeat(~held_out[a:b], n)
-                by += np.bincount(own[train] * LANGS + np.repeat(lang[a:b], n)[train], minlength=by.size).reshape(by.shape)
+                cell, times = np.unique(own[train].astype(np.int64) * LANGS + np.repeat(lang[a:b], n)[train], return_counts=True)
+                by[cell] += times
                 full = np.zeros(len(own) + b - a, np.int32)
                 full[np.arange(len(own)) + np.repeat(np.arange(b - a), n)] = own
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x)  # noqa: E731, B023
                 packed = zstandard.ZstdCompressor(level=3).compress(full.tobytes())
                 yield _batch(BLOCKS, 1, kind=pa.array([0]), block=pa.array([block]), doc_id=one(batch.column(0)[a:b]), held=one(pa.array(held_out[a:b])), n=one(pa.array(n + 1)), ids=pa.array([packed], pa.binary()))
+            del ids
+            by = by.reshape(-1, LANGS)
             order = np.argsort(rank)
-            s, size = start[first[order]], (end - start)[first[order]]
+            s, size = start[first[order]].astype(np.int64), (end - start)[first[order]].astype(np.int64)
+            del start, end
             word = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(c.prefix(size).astype(np.int32)), pa.py_buffer(body[c.ranges(s, size)])])
             bucket = (distinct[order] >> _U(48)).astype(np.int32)
             n = len(s)
             for a in range(0, n, 20_000):
                 b = min(n, a + 20_000)
                 yield _batch(BLOCKS, b - a, kind=pa.array(np.ones(b - a, np.int32)), block=pa.array(np.full(b - a, block)), word=word[a:b], at=pa.array(np.arange(a + 1, b + 1)), c=pa.array(by[a + 1 : b + 1].sum(1)), lang=pa.array(by[a + 1 : b + 1].argmax(1)), bucket=pa.array(bucket[a:b]))
+            del body, by, distinct, first, order, word
+            c.trim()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -109,12 +118,15 @@ class Counts:
 
     def __init__(self, tokens: int, types: int, ends: int, by_class: dict[int, tuple[int, int]]):
         self.tokens, self.types, self.ends, self.by_class = tokens, types, ends, by_class
+        #: Classes that the model tells apart: those with training tokens, the rare and the end. The others have no words.
+        self.active = sorted({k for k, (n, _) in by_class.items() if n} | {RARE, END})
 
 
 def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
     """Each dictionary row with its word's count and class, and the totals."""
     own = table.where("kind = 1").select("block", "at", "word", "c", "lang", "bucket")
-    total = own.groupBy("word").agg(F.sum("c").alias("n"), F.max(F.struct("c", "lang")).alias("most"))
+    # the language of the block that has a word most often, packed with its count
+    total = c.written(own.groupBy("word").agg(F.sum("c").alias("n"), F.max(F.col("c") * LANGS + F.col("lang")).alias("most")), "counts")
     runs = table.where("kind = 0")
     sums = total.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     ends = runs.agg(F.sum(F.expr("size(filter(held, x -> NOT x))"))).first()[0] or 0
@@ -122,7 +134,7 @@ def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
     band = F.lit(len(BANDS))
     for k in reversed(range(len(BANDS))):
         band = F.when(F.col("n") >= BANDS[k] * tokens, k).otherwise(band)
-    known = total.select("word", "n", F.when(F.col("n") < 2, RARE).otherwise(F.col("most.lang") * (len(BANDS) + 1) + band).cast("int").alias("class"))
+    known = total.select("word", "n", F.when(F.col("n") < 2, RARE).otherwise((F.col("most") % LANGS) * (len(BANDS) + 1) + band).cast("int").alias("class"))
     joined = c.written(own.select("block", "at", "word", "bucket").join(known, "word").select("block", "at", "bucket", "n", "class"), "words")
     sizes = known.groupBy("class").agg(F.sum("n"), F.count_if(F.col("n") > 0)).collect()
     return joined, Counts(tokens, types, ends, {r[0]: (r[1], r[2]) for r in sizes})
@@ -146,6 +158,9 @@ def _parts(counts: Counts):
         once = max(counts.by_class.get(RARE, (0, 0))[1], 1)
         rare = kind == RARE
         inner[rare] = np.where(count[rare] > 0, np.log10(0.5 / once), np.log10(0.5))
+        place = np.zeros(CLASSES, np.int64)
+        place[counts.active] = np.arange(len(counts.active))
+        kind = place[kind]
         out = []
         for k in range(len(runs)):
             ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(runs.column("ids")[k].as_py()), np.int32)
@@ -154,6 +169,7 @@ def _parts(counts: Counts):
             add = lambda x: np.add.reduceat(x[ids], cut)  # noqa: E731, B023
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x)  # noqa: E731, B023
             out.append(_batch(SCORED, 1, doc_id=one(runs.column("doc_id")[k].values), held=one(runs.column("held")[k].values), n=one(pa.array(size)), known=one(pa.array(add((count > 0).astype(np.int64)))), base=one(pa.array(add(base))), inner=one(pa.array(add(inner))), classes=pa.array([kind[ids].astype(np.uint8).tobytes()], pa.binary()), buckets=pa.array([bucket[ids].astype("<u2").tobytes()], pa.binary())))
+        c.trim()
         return pa.Table.from_batches(out) if out else _batch(SCORED, 0, **{}).schema.empty_table()
 
     return run
@@ -172,7 +188,7 @@ def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def predict(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """log P(class | features), natural, tokens x CLASSES."""
+    """log P(class | features), natural, tokens x classes."""
     x = weights[features[:, 0]] + weights[features[:, 1]]
     x += weights[features[:, 2]]
     x += bias
@@ -181,17 +197,28 @@ def predict(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.n
     return x
 
 
+def probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """P(class | features)."""
+    x = weights[features[:, 0]] + weights[features[:, 1]]
+    x += weights[features[:, 2]]
+    x += bias
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def _train_rows(row: dict):
     kind, features, doc = _contexts(row)
     use = ~np.asarray(row["held"], bool)[doc]
     return kind[use], features[use]
 
 
-def _sums(state):
+def _sums(state, classes: int):
     """Per task and slice of the features, sums over training tokens: observed where state is None, else expected."""
 
     def run(it):
-        total = np.zeros((FEATURES, CLASSES), np.float64 if state is None else np.float32)
+        total = np.zeros((FEATURES, classes), np.float64 if state is None else np.float32)
         flat = total.reshape(-1)
         weights, bias = state.value if state is not None else (None, None)
         for batch in it:
@@ -199,16 +226,18 @@ def _sums(state):
                 kind, features = _train_rows(row)
                 if state is None:
                     for f in features.T:
-                        flat += np.bincount(f * CLASSES + kind, minlength=flat.size)
+                        flat += np.bincount(f * classes + kind, minlength=flat.size)
                     continue
                 for a in range(0, len(kind), BATCH):
                     some = features[a : a + BATCH]
-                    p = np.exp(predict(weights, bias, some))
+                    p = probabilities(weights, bias, some)
                     for f in some.T:
                         order = np.argsort(f)
                         first = np.flatnonzero(np.diff(f[order], prepend=-1))
                         total[f[order][first]] += np.add.reduceat(p[order], first, 0)
         parts = total.astype(np.float32).reshape(SLICES, -1)
+        del total
+        c.trim()
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array(np.full(SLICES, task)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part", "sums"])
 
@@ -225,28 +254,28 @@ def _add(key: str):
     return run
 
 
-def _gather(scored: DataFrame, state) -> np.ndarray:
-    """The sums of all tasks, FEATURES x CLASSES: added within about a square root of the tasks, then altogether."""
+def _gather(scored: DataFrame, state, classes: int) -> np.ndarray:
+    """The sums of all tasks, FEATURES x classes: added within about a square root of the tasks, then altogether."""
     schema = "slice long, part long, sums binary"
-    parts = scored.select("held", "n", "classes", "buckets").mapInArrow(_sums(state), schema)
+    parts = scored.select("held", "n", "classes", "buckets").mapInArrow(_sums(state, classes), schema)
     wide = max(1, int(scored.rdd.getNumPartitions() ** 0.5))
     near = parts.withColumn("part", F.pmod("part", F.lit(wide))).groupBy("slice", "part").applyInArrow(_add("part"), schema)
     rows = near.groupBy("slice").applyInArrow(_add("slice"), schema).collect()  # the model's size, whatever the input
-    out = np.zeros((SLICES, FEATURES // SLICES * CLASSES))
+    out = np.zeros((SLICES, FEATURES // SLICES * classes))
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["sums"], np.float32)
-    return out.reshape(FEATURES, CLASSES)
+    return out.reshape(FEATURES, classes)
 
 
-def train(scored: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def train(scored: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of the class model."""
-    seen = _gather(scored, None)
-    share = (seen.sum(0) + 1) / (seen.sum() + CLASSES)
+    seen = _gather(scored, None, classes)
+    share = (seen.sum(0) + 1) / (seen.sum() + classes)
     bias = np.log(share).astype(np.float32)
     weights = 0.5 * (np.log((seen + 4 * share) / (seen.sum(1, keepdims=True) + 4)) - np.log(share))
     for _ in range(rounds):
         state = scored.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # of the model's fixed size
-        expected = _gather(scored, state)
+        expected = _gather(scored, state, classes)
         weights += np.clip((seen - expected) / (expected + 2.0), -1.5, 3.0) / 2.0
         state.unpersist()
     return weights.astype(np.float32), bias
@@ -277,7 +306,7 @@ def score(docs: DataFrame) -> DataFrame:
     scored = c.written(runs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_parts(counts), SCORED), "scored")
     c.dropped(table)
     c.dropped(words)
-    state = docs.sparkSession.sparkContext.broadcast(train(scored))
+    state = docs.sparkSession.sparkContext.broadcast(train(scored, len(counts.active)))
     out = scored.mapInArrow(_score(state), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
