@@ -13,6 +13,11 @@ from ..functions import text as t
 JS_ENDINGS = tuple("ts tsx js jsx mjs cjs".split())
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small result that a query uses more than once, such as directory edges: made once, as a reliable checkpoint."""
+    return _cut(df, {})
+
+
 def _cut(df: DataFrame, state: dict) -> DataFrame:
     """Cuts a loop's lineage by a reliable checkpoint; the folder is the cluster's, or one of our own where none is set."""
     sc = df.sparkSession.sparkContext

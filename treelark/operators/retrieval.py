@@ -139,7 +139,7 @@ def pack(candidates: DataFrame, root_tokens: int = k.ROOT_RESERVE, budget: int =
 
 def excerpts(docs: DataFrame, zones: list[str], query: str) -> DataFrame:
     """(scope, zone, excerpt): the text around the earliest query token, the hit in bold, at most 160 characters."""
-    words = t.tokens(F.lit(query))
+    words = F.array(*map(F.lit, t.plain_tokens(query))).cast("array<string>")
     each = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.coalesce(F.col(z), F.lit("")).alias("body")) for z in zones)))
     rows = docs.select("scope", each.alias("z")).select("scope", "z.zone", "z.body")
     places = F.filter(F.transform(words, lambda w: F.struct(F.instr(F.lower("body"), w).alias("at"), F.length(w).alias("n"), w.alias("w"))), lambda p: p["at"] > 0)

@@ -114,9 +114,6 @@ def dir_edges(x: Tables) -> DataFrame:
     return graph.dir_edges(x.imports())
 
 
-SUPPLIER, CUSTOMER = "AFRICA/NATION_15/s0", "ASIA/NATION_2/c0"
-
-
 def _some_file(x: Tables, side: str) -> str:
     """The first file of that side: one row, whatever the size."""
     return x.imports().where("resolved_to IS NOT NULL").agg(F.min(side)).first()[0] or ""
@@ -187,7 +184,7 @@ _EDGES = "e AS (SELECT from_dir, to_dir, count(*) AS weight FROM imports WHERE t
 
 @query("WITH RECURSIVE " + with_("imports", f", {_EDGES}, b AS (SELECT from_dir AS a, to_dir AS b FROM e, m WHERE weight >= w UNION SELECT to_dir, from_dir FROM e, m WHERE weight >= w), r AS (SELECT min(a) AS dir, 0 AS hops FROM b UNION SELECT b.b, hops + 1 FROM r JOIN b ON b.a = r.dir WHERE hops < 4) SELECT dir, min(hops) AS hops, 1 / (1 + min(hops)) AS prox FROM r WHERE dir IS NOT NULL GROUP BY dir")[5:])
 def dir_proximity(x: Tables) -> DataFrame:
-    e = graph.dir_edges(x.imports())
+    e = graph.kept(graph.dir_edges(x.imports()))
     least = e.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY weight)").alias("w"))
     strong = e.crossJoin(F.broadcast(least)).where("weight >= w")
     seed = strong.agg(F.least(F.min("from_dir"), F.min("to_dir")).alias("dir")).where("dir IS NOT NULL")
