@@ -112,6 +112,8 @@ def deflated(rows: DataFrame) -> DataFrame:
             raw, at = memoryview(data), offsets.tolist()
             packed = pa.array([pack(raw[x:y]) for x, y in zip(at, at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "rk", "z"])
+            del packed
+            trim()
 
     return rows.mapInArrow(run, "doc_id long, rk long, z binary")
 

@@ -119,6 +119,7 @@ def _sets(k: int):
                     for r, s in zip(some.tolist(), sketch(key, start)):
                         packed[r] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), pa.array(packed, pa.binary())], names=["doc_id", "rk", "n", "s1", "s2", "sketch"])
+            c.trim()
 
     return run
 
