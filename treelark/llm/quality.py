@@ -126,13 +126,15 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _gram_sql(n: int) -> str:
-    return f"""g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + {n - 1})) > 1 AS twice FROM w, LATERAL (SELECT unnest(range(1, len(w) - {n - 2})) AS i)),
+    places = f"range(1, len(w) - {n - 2})"
+    return f"""g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) > 1 AS twice FROM (SELECT doc_id, unnest({places}) AS i, unnest(list_transform({places}, lambda i: md5(array_to_string(list_slice(w, i, i + {n - 1}), ' ')))) AS h FROM w)),
 h{n} AS (SELECT doc_id, i + k AS i FROM g{n}, range({n}) t(k) WHERE twice GROUP BY ALL),
-d{n} AS (SELECT doc_id, count(*) AS n, sum(length(w[i])) AS chars FROM h{n} JOIN w USING (doc_id) GROUP BY doc_id)"""
+d{n} AS (SELECT doc_id, count(*) AS n, sum(n) AS chars FROM h{n} JOIN wl USING (doc_id, i) GROUP BY doc_id)"""
 
 
 OP1_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{c.WORD}') AS w, coalesce(text, '') AS text FROM documents),
+wl AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: length(x))) AS n FROM w),
 l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{c.WORD}') GROUP BY ALL),
 ll AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines, sum(n * length(line)) AS line_chars, sum((n - 1) * length(line)) AS dup_line_chars FROM l GROUP BY doc_id),
 {", ".join(_gram_sql(n) for n in (WINDOW, *LIMITS))},
