@@ -93,6 +93,32 @@ def test_substring(docs, rows, nothing):
     assert {r.text for r in recompress.remove_repeats(docs).where("doc_id = 3").collect()} == {"one"}
 
 
+def _substring_want(rows):
+    first = {}
+    for i, text in rows:
+        w = words(text)
+        for j in range(len(w) - 49):
+            k = tuple(w[j : j + 50])
+            first[k] = min(first.get(k, i), i)
+    want = collections.Counter()
+    for i, text in rows:
+        w = words(text)
+        gone = {x for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for x in range(j, j + 50)}
+        want[(i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_of_a_region_that_its_first_document_repeats(spark, seed):
+    """X P Y, then Z P Z B Z P Z: also in two rows of one doc_id, and three times."""
+    r = np.random.default_rng(seed)
+    prose = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    x, y, z1, z2, a, b, e, p = (prose(60) for _ in range(8))
+    rows = [(3, " ".join([x, p, y])), (5, " ".join([a, z1, p, z2, b, z1, p, z2, e])), (5, " ".join([e, z1, p, z2, a, z1, p, z2])), (6, " ".join([z1, p, z2])), (7, " ".join([b, p, b, p]))]
+    got = repeats.marked(df := spark.createDataFrame(rows, "doc_id long, text string"), recompress.find_repeats(df)).mapInArrow(recompress._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == _substring_want(rows)
+
+
 def _suffix(docs):
     return repeats.marked(docs, suffixes.find_repeats(docs)).mapInArrow(suffixes._cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -7,7 +7,8 @@ whole (128 bits). Then
 1. anchors whose key occurs once are dropped: their windows can't occur elsewhere;
 2. regions equal to another are repeated as a whole, and copies, however many, collapse in map-side aggregates;
 3. keys with several different regions are compared window by window, on one representative of each region, by the
-   operator's own method; what occurs in thousands of copies is one region here.
+   operator's own method; what occurs in thousands of copies is one region here. Where only smaller doc_ids count, marks
+   of a representative are carried to the other places of its region in the same doc_id.
 
 Anchors are about one to a hundred bytes of text, and only they are shuffled; texts are joined to marks by row. No group
 is gathered but the marks of one document.
@@ -79,7 +80,17 @@ def find(docs: DataFrame, anchors: Callable, extract: Callable, extracted: str,
     wanted = wanted.groupBy("doc_id", "rk").agg(F.collect_list("x").alias("x"))
     texts = c.deflated(rows).alias("d").join(wanted.alias("w"), F.col("d.rk").eqNullSafe(F.col("w.rk")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
     parts = c.written(texts.select("d.doc_id", "d.rk", "d.z", "w.x").mapInArrow(extract, extracted), "parts")
-    return full.unionByName(compare(parts))
+    found = compare(parts)
+    if not earlier:
+        return full.unionByName(found)
+    # what a representative shares with smaller doc_ids, the other places of its region in its own doc_id share too
+    found = c.written(found.distinct(), "found")
+    again = regions.where("n > 1").join(several, "key", "left_semi").select("key", "h1", "h2", "r")
+    others = some.join(again, ["key", "h1", "h2"]).where("doc_id = r.doc_id AND (rk <> r.rk OR place <> r.place)").select("doc_id", "rk", "place", "r").distinct()
+    at = others.select("doc_id", "rk", F.col("r.rk").alias("of"), (_lo(F.col("place")) - _lo(F.col("r.place"))).alias("by"), F.explode(F.sequence(_lo(F.col("r.place")), _hi(F.col("r.place")))).alias("lo"))
+    single = found.select("doc_id", F.col("rk").alias("of"), F.explode(F.sequence("lo", "hi")).alias("lo"))
+    carried = at.join(single, ["doc_id", "of", "lo"]).select("doc_id", "rk", (F.col("lo") + F.col("by")).alias("lo"), (F.col("lo") + F.col("by")).alias("hi"))
+    return full.unionByName(found).unionByName(carried)
 
 
 def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
