@@ -30,3 +30,38 @@ def test_entry_gives_twenty_documents(spark):
 def test_every_sql_has_its_query():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _reached(symbols, references, imports, seeds, depth=3):
+    """Breadth-first search over plain tuples: hops by file, from whole files."""
+    home = {i: f for i, f, exported in symbols if exported}
+    users, importers = {}, {}
+    for i, f in references:
+        if i in home:
+            users.setdefault(home[i], set()).add(f)
+    for f, to in imports:
+        if to is not None:
+            importers.setdefault(to, set()).add(f)
+    hops, frontier = {}, set(seeds)
+    seen = set(seeds)
+    for h in range(depth):
+        step = set().union(*(users.get(f, set()) | (importers.get(f, set()) if not h or f not in set(home.values()) else set()) for f in frontier)) - seen
+        hops |= dict.fromkeys(step, h)
+        seen |= step
+        frontier = step
+    return hops
+
+
+def test_impact_of_the_whole_index(spark):
+    x = catalogue.Tables(spark, ROOT)
+    symbols = [tuple(r) for r in x.symbols().select("id", "file", "exported").collect()]
+    references = [tuple(r) for r in x.references().select("symbol_id", "file").collect()]
+    imports = [tuple(r) for r in x.imports().select("from_file", "resolved_to").collect()]
+    seeds = {f for i, f, _ in symbols if i == 5} | {min(to for _, to in imports if to is not None)}
+    want = _reached(symbols, references, imports, seeds)
+    got = catalogue.QUERIES["impact_files_whole"](spark, ROOT).collect()
+    assert {r.file: r.hops for r in got} == want and len(got) == len(want) > 20
+    scopes = {}
+    for f, h in want.items():
+        scopes.setdefault(f.rsplit("/", 1)[0] if "/" in f else ".", []).append(h)
+    assert {(r.scope, r.min_hops, r.files) for r in catalogue.QUERIES["impact_scopes_whole"](spark, ROOT).collect()} == {(k, min(v), len(v)) for k, v in scopes.items()}

@@ -219,6 +219,24 @@ def impact_scopes(x: Tables) -> DataFrame:
     return graph.affected_scopes(hit)
 
 
+def _whole_impact(x: Tables) -> DataFrame:
+    """Over every symbol, reference and import, ids as they are; seeds: the file of symbol 5 as a whole, and an imported file."""
+    s, i = x.symbols(), x.imports()
+    files = s.where("id = 5").select("file").unionByName(i.agg(F.min("resolved_to").alias("file")).where("file IS NOT NULL"))
+    seeds = graph.kept(files.select("file", F.lit(None).cast("long").alias("symbol_id")))
+    return graph.impact(s, x.references(), i, seeds, results=1 << 62)[0]
+
+
+@query()
+def impact_files_whole(x: Tables) -> DataFrame:
+    return _whole_impact(x).select("file", "hops")
+
+
+@query()
+def impact_scopes_whole(x: Tables) -> DataFrame:
+    return graph.affected_scopes(_whole_impact(x))
+
+
 @query(with_("imports", ", f AS (SELECT min(resolved_to) AS f FROM imports), o AS (SELECT DISTINCT from_file AS file, 1 AS hop FROM imports, f WHERE resolved_to = f), w AS (SELECT DISTINCT i.from_file AS file, 2 AS hop FROM imports i JOIN o ON i.resolved_to = o.file) SELECT file, min(hop) AS hop FROM (SELECT * FROM o UNION ALL SELECT * FROM w) GROUP BY file"))
 def reverse_dependencies(x: Tables) -> DataFrame:
     return graph.reverse_dependencies(x.imports(), _some_file(x, "resolved_to"))
