@@ -296,6 +296,20 @@ def test_language_model_learns_contexts(spark):
     assert held[0] > held[1] * 0.95
 
 
+def test_language_model_knows_each_word_by_the_word_before(spark):
+    """More words than the class model can tell apart, each with one follower."""
+    r = np.random.default_rng(0)
+    text = lambda: " ".join(f"a{int(x)} b{int(x)}" for x in r.integers(0, 5000, 100))
+    df = spark.createDataFrame([(i, text(), "en") for i in range(1000)], "doc_id long, text string, lang string")
+    held = maxent.score(df).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1] * 0.75
+
+
+def test_counts_and_class_model_are_a_distribution():
+    p, n = np.array([0.5, 0.3, 0.2]), np.array([7, 0, 1])
+    assert maxent.smoothed(p, n, n.sum(), 2).sum() == pytest.approx(1) and (maxent.smoothed(p, 0 * n, 0, 0) == p).all()
+
+
 def test_class_model_is_a_distribution():
     r = np.random.default_rng(0)
     w, b = r.normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32), r.normal(size=maxent.CLASSES).astype(np.float32)

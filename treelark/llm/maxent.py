@@ -11,7 +11,10 @@ word's share of its class.
 3. Blocks become class and bucket numbers, with the parts of the scores that don't depend on weights.
 4. Each round, tasks add up observed minus expected features over all training tokens; the sums (of the model's fixed
    size) are reduced in slices, in two steps, and the driver moves the weights: a gradient step with diagonal curvature.
-5. All texts are scored with the weights, in sparse numpy batches.
+5. Each block's distinct n-grams of two and three words, with their training counts, meet in one aggregate and go back to
+   their blocks, with the count and the distinct followers of their context. These counts grow with the corpus.
+6. All texts are scored: the class model's probability is what the counts of two words are smoothed with (Witten-Bell), and
+   the result is what those of three words are smoothed with. Words and contexts are told apart by 64-bit hashes.
 
 Nulls count as empty texts (one end token); a null doc_id is a training row; repeated rows are counted and scored each.
 Without training rows every score is 0 bits of knowledge: base_score follows its formula, score the untrained model.
@@ -38,7 +41,10 @@ FEATURES, ROUNDS, BATCH, SLICES = 1 << 15, 2, 1 << 14, 16
 _U = np.uint64
 
 BLOCKS = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, ids binary, word binary, at int, c long, lang int, bucket int"
-SCORED = "doc_id array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, inner array<double>, classes binary, buckets binary"
+SCORED = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, inner binary, classes binary, buckets binary, grams binary, ctx long, gram long, at int, c long"
+FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Words of context of the counted n-grams.
+ORDERS = (1, 2)
 
 
 def _batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
@@ -124,7 +130,7 @@ class Counts:
 
 def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
     """Each dictionary row with its word's count and class, and the totals."""
-    own = table.where("kind = 1").select("block", "at", "word", "c", "lang", "bucket")
+    own = table.where("kind = 1").select("block", "at", "word", "c", "lang", "bucket", F.xxhash64("word").alias("w"))
     # the language of the block that has a word most often, packed with its count
     total = c.written(own.groupBy("word").agg(F.sum("c").alias("n"), F.max(F.col("c") * LANGS + F.col("lang")).alias("most")), "counts")
     runs = table.where("kind = 0")
@@ -135,7 +141,7 @@ def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
     for k in reversed(range(len(BANDS))):
         band = F.when(F.col("n") >= BANDS[k] * tokens, k).otherwise(band)
     known = total.select("word", "n", F.when(F.col("n") < 2, RARE).otherwise((F.col("most") % LANGS) * (len(BANDS) + 1) + band).cast("int").alias("class"))
-    joined = c.written(own.select("block", "at", "word", "bucket").join(known, "word").select("block", "at", "bucket", "n", "class"), "words")
+    joined = c.written(own.select("block", "at", "word", "bucket", "w").join(known, "word").select("block", "at", "bucket", "w", "n", "class"), "words")
     sizes = known.groupBy("class").agg(F.sum("n"), F.count_if(F.col("n") > 0)).collect()
     return joined, Counts(tokens, types, ends, {r[0]: (r[1], r[2]) for r in sizes})
 
@@ -144,10 +150,10 @@ def _parts(counts: Counts):
     def run(runs: pa.Table, words: pa.Table) -> pa.Table:
         column = lambda t, k: np.asarray(t.column(k).combine_chunks() if t.column(k).num_chunks != 1 else t.column(k).chunk(0))
         n = len(words) + 1
-        count, kind, bucket = np.zeros(n, np.int64), np.full(n, END), np.zeros(n, np.int64)
+        count, kind, bucket, w = np.zeros(n, np.int64), np.full(n, END), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if n > 1:
             at = column(words, "at")
-            count[at], kind[at], bucket[at] = column(words, "n"), column(words, "class"), column(words, "bucket")
+            count[at], kind[at], bucket[at], w[at] = column(words, "n"), column(words, "class"), column(words, "bucket"), column(words, "w")
         count[0] = counts.ends
         base = np.log10((count + 0.5) / (counts.tokens + 0.5 * (counts.types + 1)))
         mass = np.ones(CLASSES)
@@ -161,20 +167,75 @@ def _parts(counts: Counts):
         place = np.zeros(CLASSES, np.int64)
         place[counts.active] = np.arange(len(counts.active))
         kind = place[kind]
-        out = []
+        w = c.mix(w.view(_U) + _U(1))
+        out, block, held, contexts, grams, cuts = [], runs.column("block")[0].as_py() if len(runs) else 0, [], [], [], []
         for k in range(len(runs)):
             ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(runs.column("ids")[k].as_py()), np.int32)
             size = np.asarray(runs.column("n")[k].values)
             cut = np.cumsum(size) - size
             add = lambda x: np.add.reduceat(x[ids], cut)  # noqa: E731, B023
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x)  # noqa: E731, B023
-            out.append(_batch(SCORED, 1, doc_id=one(runs.column("doc_id")[k].values), held=one(runs.column("held")[k].values), n=one(pa.array(size)), known=one(pa.array(add((count > 0).astype(np.int64)))), base=one(pa.array(add(base))), inner=one(pa.array(add(inner))), classes=pa.array([kind[ids].astype(np.uint8).tobytes()], pa.binary()), buckets=pa.array([bucket[ids].astype("<u2").tobytes()], pa.binary())))
+            ctx = _histories(w[ids], np.repeat(np.arange(len(size)), size))
+            contexts.append(ctx)
+            grams.append(c.mix(ctx * _U(0xE7037ED1A0B428DB) + w[ids]))
+            held.append(np.repeat(np.asarray(runs.column("held")[k].values), size))
+            cuts.append(dict(kind=pa.array([0]), block=pa.array([block]), doc_id=one(runs.column("doc_id")[k].values), held=one(runs.column("held")[k].values), n=one(pa.array(size)), known=one(pa.array(add((count > 0).astype(np.int64)))), base=one(pa.array(add(base))), inner=_packed(inner[ids].astype(np.float32)), classes=pa.array([kind[ids].astype(np.uint8).tobytes()], pa.binary()), buckets=pa.array([bucket[ids].astype("<u2").tobytes()], pa.binary())))
+        if cuts:
+            train = ~np.concatenate(held)
+            ends = np.cumsum([x.shape[1] for x in grams])
+            numbers, done = [], 0
+            for o in range(len(ORDERS)):
+                gram = np.concatenate([x[o] for x in grams])
+                distinct, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+                own = np.concatenate([x[o] for x in contexts])[first]
+                times = np.bincount(inverse[train], minlength=len(distinct))
+                for a in range(0, len(distinct), 50_000):
+                    b = min(a + 50_000, len(distinct))
+                    out.append(_batch(SCORED, b - a, kind=pa.array(np.ones(b - a, np.int32)), block=pa.array(np.full(b - a, block)), ctx=pa.array(own[a:b].view(np.int64)), gram=pa.array(distinct[a:b].view(np.int64)), at=pa.array(np.arange(a, b) + done), c=pa.array(times[a:b])))
+                numbers.append((inverse + done).astype(np.int32))
+                done += len(distinct)
+            for x, a, b in zip(cuts, np.append(0, ends), ends):
+                out.append(_batch(SCORED, 1, **x, grams=_packed(np.stack([m[a:b] for m in numbers]))))
         c.trim()
         return pa.Table.from_batches(out) if out else _batch(SCORED, 0, **{}).schema.empty_table()
 
     return run
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([zstandard.ZstdCompressor(level=3).compress(x.tobytes())], pa.binary())
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _histories(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Orders x tokens: a hash of the words before each token, of which those before the text count as one word."""
+    out, history = [], np.zeros(len(w), _U)
+    for k in range(1, max(ORDERS) + 1):
+        before = np.zeros(len(w), _U)
+        before[k:] = np.where(doc[k:] == doc[:-k], w[:-k], 0)
+        history = c.mix(history * _U(0xA0761D6478BD642F) + before + _U(k))
+        if k in ORDERS:
+            out.append(history)
+    return np.stack(out)
+
+
+def counted(scored: DataFrame) -> DataFrame:
+    """By block and number of an n-gram: its training count n, its context's count m and distinct followers t, if m > 0."""
+    own = scored.where("kind = 1").select("block", "at", "ctx", "gram", "c")
+    total = c.written(own.groupBy("ctx", "gram").agg(F.sum("c").alias("n")), "grams")
+    contexts = total.where("n > 0").groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("t"))
+    known = total.join(contexts, "ctx").select("gram", "ctx", "n", "m", "t")
+    return own.select("block", "at", "ctx", "gram").join(known, ["ctx", "gram"]).select((F.col("block") + 0).alias("block"), "at", "n", "m", "t")
+
+
+def smoothed(p: np.ndarray, n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Witten-Bell: n of m followers of a context, t of them different, with what p expects of new ones."""
+    return np.where(m > 0, (n + t * p) / np.maximum(m + t, 1), p)
+
+
 def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes, features (tokens x 3) and the document of each token of a run."""
     kind, bucket = np.frombuffer(row["classes"], np.uint8), np.frombuffer(row["buckets"], "<u2").astype(_U) + _U(1)
@@ -282,18 +343,30 @@ def train(scored: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[np.nda
 
 
 def _score(state):
-    def run(it):
+    def run(runs: pa.Table, grams: pa.Table) -> pa.Table:
         weights, bias = state.value
-        for batch in it:
-            for row in batch.to_pylist():
-                kind, features, doc = _contexts(row)
-                got = np.empty(len(kind))
-                for a in range(0, len(kind), BATCH):
-                    own = kind[a : a + BATCH]
-                    got[a : a + BATCH] = predict(weights, bias, features[a : a + BATCH])[np.arange(len(own)), own]
-                size = np.asarray(row["n"], np.int64)
-                outer = np.add.reduceat(got, np.cumsum(size) - size) / np.log(10)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(outer + np.asarray(row["inner"]))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        size = max((int(_unpacked(x.as_py(), np.int32).max(initial=-1)) for x in runs.column("grams")), default=-1) + 1
+        by = np.zeros((3, size))
+        if len(grams):
+            at = np.asarray(grams.column("at"))
+            for k, name in enumerate("nmt"):
+                by[k, at] = np.asarray(grams.column(name))
+        out = []
+        for row in runs.to_pylist():
+            kind, features, doc = _contexts(row)
+            got = np.empty(len(kind))
+            for a in range(0, len(kind), BATCH):
+                own = kind[a : a + BATCH]
+                got[a : a + BATCH] = predict(weights, bias, features[a : a + BATCH])[np.arange(len(own)), own]
+            p = np.exp(got) * 10.0 ** _unpacked(row["inner"], np.float32).astype(np.float64)
+            for number in _unpacked(row["grams"], np.int32).reshape(len(ORDERS), -1):
+                p = smoothed(p, *by[:, number])
+            n = np.asarray(row["n"], np.int64)
+            total = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), np.cumsum(n) - n)
+            out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(total)], names=[x.split()[0] for x in FINAL.split(", ")]))
+        c.trim()
+        empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
+        return pa.Table.from_batches(out) if out else empty
 
     return run
 
@@ -303,11 +376,12 @@ def score(docs: DataFrame) -> DataFrame:
     table = blocks(docs)
     words, counts = count_words(table)
     runs = table.where("kind = 0").select("block", "doc_id", "held", "n", "ids")
-    scored = c.written(runs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_parts(counts), SCORED), "scored")
+    scored = c.written(runs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_parts(counts), SCORED), "scored", ["kind"])
     c.dropped(table)
     c.dropped(words)
-    state = docs.sparkSession.sparkContext.broadcast(train(scored, len(counts.active)))
-    out = scored.mapInArrow(_score(state), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    runs = scored.where("kind = 0").select("block", "doc_id", "held", "n", "known", "base", "inner", "classes", "buckets", "grams")
+    state = docs.sparkSession.sparkContext.broadcast(train(runs, len(counts.active)))
+    out = runs.groupBy("block").cogroup(counted(scored).groupBy("block")).applyInArrow(_score(state), FINAL)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
