@@ -191,6 +191,14 @@ def dir_proximity(x: Tables) -> DataFrame:
     return graph.proximity(strong, seed)
 
 
+@query()
+def dir_proximity_whole(x: Tables) -> DataFrame:
+    """Over all directory edges."""
+    e = graph.kept(graph.dir_edges(x.imports()))
+    seed = e.agg(F.least(F.min("from_dir"), F.min("to_dir")).alias("dir")).where("dir IS NOT NULL")
+    return graph.proximity(e, seed)
+
+
 def _small_index(x: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symbols, references and import edges among few files, so that impact takes hops: orders use parts of their brand."""
     s = x.symbols().withColumn("file", F.concat(F.lit("p"), (F.col("id") % 97).cast("string")))
