@@ -336,6 +336,16 @@ def test_token_files(spark, docs, rows, nothing):
     assert tokenfile.read_ids(tokenfile.write_ids(nothing, common.scratch(spark, "ids"), tokenfile.tokenizer_file())).count() == 0
 
 
+def test_token_file_of_texts_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenfile.tokenizer_file())
+    texts = ["one two", "a <|endoftext|> b", "<|endoftext|>", "ends in <|endof", "text|> begins", "x<|endoftext|><|endoftext|>é", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = tokenfile.read_ids(tokenfile.write_ids(df, common.scratch(spark, "ids"), tokenfile.tokenizer_file())).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize("n", [0, 1, idcoder.BLOCK - 1, idcoder.BLOCK, 3 * idcoder.BLOCK + 5])
 def test_range_coder_round_trip(n):
     r = np.random.default_rng(n)

@@ -10,7 +10,8 @@ bytes); each task writes one file of segments. A segment holds whole documents o
 
 A file gets its name by renaming when it is complete, so a lost executor leaves no half file behind. The manifest (file,
 segment, place, documents, ids) is a written table; ids before a segment are running sums over it, by file and then
-within the file. Distinct pieces of text are encoded once by the tokenizers library, then put together by arrays.
+within the file. Distinct pieces of text are encoded once by the tokenizers library, then put together by arrays; a text
+that holds an added token of the tokenizer file is encoded by the library as a whole.
 
 Nulls and empty texts hold the end id alone. Repeated rows are documents of their own. Other columns are ignored. Empty
 tables write empty files and give an empty table.
@@ -41,9 +42,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # such strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(2)
@@ -58,6 +57,27 @@ def _table(path: str) -> bpe.PieceTable:
     return bpe.PieceTable(encode)
 
 
+@lru_cache(2)
+def _added(path: str) -> list[bytes]:
+    return [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values() if t.content]
+
+
+def whole_texts(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, cut: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """ids and cut, with those texts raw[at[i]:at[i + 1]] that hold an added token encoded by the library as they are."""
+    body, hit = raw.tobytes(), set()
+    for token in _added(path):
+        k = body.find(token)
+        while k >= 0:
+            i = int(np.searchsorted(at, k, "right")) - 1
+            if k + len(token) <= at[i + 1]:
+                hit.add(i)
+            k = body.find(token, k + 1)
+    if not hit:
+        return ids, cut
+    parts = [np.array(_tokenizer(path).encode(body[at[i] : at[i + 1]].decode("utf-8"), add_special_tokens=False).ids, np.int64) if i in hit else ids[cut[i] : cut[i + 1]] for i in range(len(at) - 1)]
+    return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+
 def checksums(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
     at = (4 * cut).tolist()
@@ -113,7 +133,8 @@ def _writer(folder: str, path: str, end: int):
                         out.write(raw)
                         held.clear()
 
-                for a, b, raw, _, ids, cut in bpe.groups(data, offsets, _table(path)):
+                for a, b, raw, at, ids, cut in bpe.groups(data, offsets, _table(path)):
+                    ids, cut = whole_texts(raw, at, ids, cut, path)
                     full = np.full(len(ids) + b - a, end, np.int32)
                     full[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(cut))] = ids
                     held.append((a, b, full, np.diff(cut) + 1))
