@@ -8,6 +8,7 @@ columns the operator doesn't need are never looked at, so their names can't clas
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 
@@ -130,21 +131,8 @@ def inflated(column: pa.Array, limit: int = RUN_BYTES):
             parts, size, first = [], 0, k + 1
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
-_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_pow[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _BACK)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _pow[k] = np.multiply.accumulate(x)
-    return _pow[0][:n], _pow[1][:n]
+_U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,11 +145,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed * 0x632BE59BD9B4E019 & _MASK))
-
-
-TABLES = [byte_table(1), byte_table(2)]
+#: Spans of more bytes are hashed one by one with BLAKE2b.
+_LONG = 256
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_LEFT = (_U(0xE7037ED1A0B428DB), _U(0xA0761D6478BD642F))
+_HEADS = np.append((_U(1) << (_U(8) * np.arange(8, dtype=_U))) - _U(1), _U(_MASK))
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -176,20 +164,90 @@ def prefix(values: np.ndarray, dtype=np.int64) -> np.ndarray:
     return out
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every position as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int = 0) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    pw, back = powers(len(data) + 1)
-    p = prefix(TABLES[table][data] * pw[: len(data)], np.uint64)
-    return mix((p[ends] - p[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
+
+    A chain over eight bytes at a time with a mixing that isn't linear in any arithmetic, so that no family of strings (as
+    Thue-Morse words are for polynomials modulo 2**64) collides by its form. Tables 0 and 1 are two different hashes.
+    """
+    size = ends - starts
+    h = size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(_SEEDS[table])
+    if not len(size):
+        return h
+    eight = _eights(data)
+    h ^= eight[starts] & _HEADS[np.minimum(size, 8)]
+    mix(h)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([table])).digest(), "little")
+    rest, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ eight[np.minimum(starts[rest] + k, ends[rest] - 8)])
+        k += 8
+        rest = rest[size[rest] > k]
+    return h
+
+
+def join_hash(a: np.ndarray, b: np.ndarray, table: int = 0) -> np.ndarray:
+    """The hash of two neighbours from theirs."""
+    x = a * _LEFT[table]
+    x += b
+    return mix(x)
+
+
+class Windows:
+    """Hashes of runs of consecutive items (already mixed 64-bit values) from hashes of runs of 2, 4, 8... of them."""
+
+    def __init__(self, items: np.ndarray, table: int = 0, first: int = 0):
+        """first: items are hashes of runs of 2**first of the things that lengths count."""
+        self.levels, self.table, self.first = [items], table, first
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k - self.first:
+            x, w = self.levels[-1], 1 << (len(self.levels) - 1 + self.first)
+            self.levels.append(join_hash(x[:-w], x[w:], self.table) if len(x) > w else x[:0])
+        return self.levels[k - self.first]
+
+    def every(self, n: int) -> np.ndarray:
+        """Of all runs of n items."""
+        k = n.bit_length() - 1
+        x, by = self.level(k), n - (1 << k)
+        return x.copy() if not by else join_hash(x[:-by], x[by:], self.table) if len(x) > by else x[:0].copy()
+
+    def at(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of the runs lo..hi - 1, none of them empty."""
+        size = hi - lo
+        k = np.frexp(size.astype(np.float64))[1] - 1
+        out = np.empty(len(size), _U)
+        for d in np.unique(k).tolist():
+            some = np.flatnonzero(k == d)
+            both = self._of(d, np.concatenate([lo[some], hi[some] - (1 << d)]))
+            out[some] = join_hash(both[: len(some)], both[len(some) :], self.table)
+        return mix(out + size.astype(_U))
+
+    def _of(self, k: int, at: np.ndarray) -> np.ndarray:
+        """level(k)[at], without making a whole level for few places."""
+        lack = k - self.first - len(self.levels) + 1
+        if lack <= 0 or len(at) << lack > lack * len(self.levels[0]):
+            return self.level(k)[at]
+        both = self._of(k - 1, np.concatenate([at, at + (1 << (k - 1))]))
+        return join_hash(both[: len(at)], both[len(at) :], self.table)
+
+
+def byte_windows(data: np.ndarray, table: int = 0) -> Windows:
+    """Windows over bytes, of eight or more."""
+    return Windows(mix(_eights(data)[: max(0, len(data) - 7)] ^ _U(_SEEDS[table])), table, 3)
 
 
 def gram_hash(items: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all runs of n consecutive items (already mixed 64-bit values)."""
-    if len(items) < n:
-        return np.zeros(0, np.uint64)
-    pw, back = powers(len(items) + 1)
-    p = prefix(items * pw[: len(items)], np.uint64)
-    return mix((p[n:] - p[:-n]) * back[: len(items) - n + 1])
+    return Windows(items).every(n) if len(items) >= n else np.zeros(0, _U)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

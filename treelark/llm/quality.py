@@ -48,9 +48,9 @@ def _measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
 
     items = c.span_hash(data, starts, ends)
     row_of = np.repeat(np.arange(rows), n_words)
-    out = []
+    out, windows = [], c.Windows(items)
     for n in lengths:
-        keys = c.gram_hash(items, n)
+        keys = windows.every(n)
         if not len(keys):
             out.append((np.zeros(rows, np.int64), np.zeros(rows, np.int64)))
             continue

@@ -85,7 +85,7 @@ def choose(items: np.ndarray, at: np.ndarray):
         return (np.zeros(0, np.int64),) * 5
     starts = c.ranges(at[rows], lengths[rows])
     row = np.repeat(rows, lengths[rows])
-    key, place, running = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64), _running(items)
+    key, place, running = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64), c.Windows(items)
     todo = np.arange(len(starts))
     for k, (sym, pos, first, last) in reversed(list(enumerate(levels(items, at)))):
         s = starts[todo]
@@ -105,7 +105,7 @@ def choose(items: np.ndarray, at: np.ndarray):
                 best[own] = np.minimum(table[d][a[own]], table[d][b[own] - (1 << d)])
             best = (best & _U((1 << int(bits)) - 1)).astype(np.int64)
             # all words the symbol depends on are in the window: the key names them too
-            key[todo[ok]], place[todo[ok]] = name[best] ^ _between(running, first[best], last[best] + 1), pos[best]
+            key[todo[ok]], place[todo[ok]] = name[best] ^ running.at(first[best], last[best] + 1), pos[best]
         todo = todo[~ok]
         if not len(todo):
             break
@@ -114,18 +114,6 @@ def choose(items: np.ndarray, at: np.ndarray):
     return row[edge], key[edge], place[edge], starts[edge], starts[end]
 
 
-def _second(items: np.ndarray) -> np.ndarray:
-    return c.mix(items ^ _U(0x8EBC6AF09C88C6E3))
-
-
-def _running(items: np.ndarray) -> np.ndarray:
-    return c.prefix(items * c.powers(len(items) + 1)[0][: len(items)], np.uint64)
-
-
-def _between(running: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return c.mix((running[b] - running[a]) * c.powers(len(running))[1][a] + (b - a).astype(_U))
-
-
 def _anchors(it):
     for batch in it:
         data, offsets = c.text_buffer(batch.column(2))
@@ -137,7 +125,7 @@ def _anchors(it):
             if len(row):
                 where = ((pos - lo) * WINDOW + (hi - lo)).astype(_U)
                 both = (c.span_hash(raw, starts, ends, 1), items)
-                h1, h2 = (c.mix(_between(_running(_second(x)), lo, hi + WINDOW) + where) for x in both)
+                h1, h2 = (c.mix(c.Windows(x, t).at(lo, hi + WINDOW) + where) for x, t in zip(both, (1, 0)))
                 begin = at[row]
                 yield repeats.anchor_batch(batch.column(0), batch.column(1), row + i, key, h1, h2, pos - begin, lo - begin, hi - begin)
 
@@ -154,7 +142,7 @@ def _extract(it):
             r, part = owner[a:b], {k: v[a:b] for k, v in x.items()}
             lo, _, hi = repeats.unplaced(part["place"])
             s = c.ranges(at[r - i] + lo, hi - lo + 1)
-            h1, h2 = (_between(_running(_second(c.span_hash(raw, starts, ends, t))), s, s + WINDOW).view(np.int64) for t in (1, 0))
+            h1, h2 = (c.Windows(c.span_hash(raw, starts, ends, t), t).every(WINDOW)[s].view(np.int64) for t in (1, 0))
             row = np.repeat(r, hi - lo + 1)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((s - at[row - i]).astype(np.int32)), pa.array(h1), pa.array(h2)], names=[n.split()[0] for n in EXTRACTED.split(", ")])

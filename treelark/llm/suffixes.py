@@ -44,16 +44,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def choose(data: np.ndarray, offsets: np.ndarray):
-    """Row, key, position and first and last window start of each anchor, positions in data."""
+def choose(windows: c.Windows, offsets: np.ndarray):
+    """Row, key, position and first and last window start of each anchor, positions in the data of windows."""
     nothing = (np.zeros(0, np.int64),) * 5
     lengths = np.diff(offsets) - WINDOW + 1
     rows = np.flatnonzero(lengths > 0)
     if not len(rows):
         return nothing
-    pw, back = c.powers(len(data) + 1)
-    p = c.prefix(c.TABLES[0][data] * pw[: len(data)], np.uint64)
-    h = c.mix((p[GRAM:] - p[:-GRAM]) * back[: len(data) - GRAM + 1])
+    h = windows.every(GRAM)
     bits = np.uint64(len(h).bit_length())
     low = sliding_min((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), SIDE + 1)
     starts = c.ranges(offsets[rows], lengths[rows])
@@ -69,11 +67,12 @@ def _anchors(it):
         data, offsets = c.text_buffer(batch.column(2))
         for i, j in c.runs(offsets):
             raw, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            row, key, pos, lo, hi = choose(raw, at)
+            windows = c.byte_windows(raw)
+            row, key, pos, lo, hi = choose(windows, at)
             if len(row):
                 begin = at[row]
                 where = ((pos - lo) * WINDOW + (hi - lo)).astype(np.uint64)
-                h1, h2 = (c.mix(c.span_hash(raw, lo, hi + WINDOW, t) + where) for t in (0, 1))
+                h1, h2 = (c.mix(w.at(lo, hi + WINDOW) + where) for w in (windows, c.byte_windows(raw, 1)))
                 yield repeats.anchor_batch(batch.column(0), batch.column(1), row + i, key, h1, h2, pos - begin, lo - begin, hi - begin)
 
 
@@ -254,7 +253,7 @@ def _hashes(it):
             raw, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             n = np.diff(at) - WINDOW + 1
             starts, row = c.ranges(at[:-1], n), np.repeat(np.arange(i, j), n)
-            h1, h2 = (c.span_hash(raw, starts, starts + WINDOW, t).view(np.int64) for t in (0, 1))
+            h1, h2 = (c.byte_windows(raw, t).every(WINDOW)[starts].view(np.int64) for t in (0, 1))
             lo = np.asarray(batch.column(4))[row] + (starts - at[row - i])
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(1).take(take), batch.column(2).take(take), pa.array(lo.astype(np.int32))], names=["h1", "h2", "doc_id", "rk", "lo"])
