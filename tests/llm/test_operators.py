@@ -346,17 +346,32 @@ def test_token_file_of_texts_with_added_tokens(spark):
     assert {r.doc_id: list(r.ids) for r in got} == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
 
 
-@pytest.mark.parametrize("n", [0, 1, idcoder.BLOCK - 1, idcoder.BLOCK, 3 * idcoder.BLOCK + 5])
+@pytest.mark.parametrize("n", [0, 1, 95, 96, 193, 4096 * 96 - 1, 450_001])
 def test_range_coder_round_trip(n):
     r = np.random.default_rng(n)
-    for ids in (r.integers(0, 50_257, n), np.zeros(n, int), r.zipf(1.4, n) % 50_257, np.full(n, 65_535)):
-        digits, count = idcoder.encode(ids.astype(np.int32))
-        assert (idcoder.decode(digits, count, n) == ids).all()
+    for ids in (r.integers(0, 50_257, n), np.zeros(n, int), r.zipf(1.4, n) % 50_257, np.full(n, 65_535), np.full(n, 65_536), r.integers(0, 1 << 31, n), r.integers(0, 1 << 18, n)):
+        assert (idcoder.decode(idcoder.encode(ids)) == ids).all()
+
+
+def test_range_coder_learns():
+    r = np.random.default_rng(3)
+    follow = r.integers(0, 50_000, 2000)
+    ids = np.empty(200_000, np.int64)
+    ids[::2] = r.integers(0, 2000, 100_000)
+    ids[1::2] = follow[ids[::2]]
+    assert len(idcoder.encode(ids)) < 2 / 3 * 200_000 * math.log2(4000) / 8  # order 0 alone needs log2(4000) bits an id
+
+
+def test_segments_of_several_blocks(monkeypatch):
+    monkeypatch.setattr(idcoder, "BLOCK", 1000)
+    ids = np.random.default_rng(1).zipf(1.3, 3700) % 70_000
+    doc_id, null, back, count = tokenfile.unpack(tokenfile.pack(np.array([4, 9]), np.array([False, True]), ids, np.array([3000, 700])))
+    assert (back == ids).all() and count.tolist() == [3000, 700] and null.tolist() == [False, True]
 
 
 def test_damaged_blocks_are_noticed():
     raw = bytearray(tokenfile.pack(np.array([1]), np.array([False]), np.arange(500, dtype=np.int32), np.array([500])))
-    raw[-9] ^= 1
+    raw[-40] ^= 1
     with pytest.raises(ValueError):
         tokenfile.unpack(bytes(raw))
 

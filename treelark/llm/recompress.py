@@ -196,11 +196,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return repeats.marked(docs, find_repeats(docs)).mapInArrow(_texts, "doc_id long, text string")
 
 
-def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = c.documents(spark, sf_dir)
+def op3_digests(docs: DataFrame) -> DataFrame:
     return repeats.marked(docs, find_repeats(docs)).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    return op3_digests(c.documents(spark, sf_dir))
+
+
 OP3_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{c.WORD}') AS w FROM documents),
 g AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ')) AS h FROM w, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i)),

@@ -291,11 +291,14 @@ def _cut(it):
             )
 
 
-def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = c.documents(spark, sf_dir)
+def op10_digests(docs: DataFrame) -> DataFrame:
     return repeats.marked(docs, find_repeats(docs)).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    return op10_digests(c.documents(spark, sf_dir))
+
+
 def _keep(it):
     for batch in it:
         row, x = repeats.listed(batch.column(2))

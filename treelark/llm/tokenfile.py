@@ -1,12 +1,12 @@
 """Operator 9, token-ID output: files of range-coded blocks, written in doc_id order and read back.
 
 Documents are range-partitioned and sorted by doc_id (nulls first, then by text, so that a rerun task writes the same
-bytes); each task writes one file of segments. A segment holds whole documents of about GROUP_BYTES of text:
+bytes); each task writes one file of segments. A segment holds whole documents of about BLOCK ids:
 
-    magic 'TLK1', int64: documents, ids, blocks
+    magic 'TLK2', int64: documents, ids, blocks
     doc_id int64 and null flag uint8 per document, ids per document int64
-    digits per block uint32, CRC-32 of the block's ids (little-endian uint32) per block
-    the blocks' digits, uint32 little-endian (see idcoder); a block holds BLOCK ids and is decoded by itself
+    bytes per block int64, CRC-32 of the block's ids (little-endian uint32) per block
+    the blocks (see idcoder), of equally many ids, about BLOCK; each is decoded by itself
 
 A file gets its name by renaming when it is complete, so a lost executor leaves no half file behind. The manifest (file,
 segment, place, documents, ids) is a written table; ids before a segment are running sums over it, by file and then
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import bpe, idcoder
 from . import common as c
 
-MAGIC = b"TLK1"
+MAGIC = b"TLK2"
 MANIFEST = "file int, path string, segment int, place long, size long, docs long, ids long"
 
 
@@ -45,14 +45,36 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def _alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with, by byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def library_ids(parts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces, one after the other, and the count of each, by the library.
+
+    A byte-level tokenizer without a normalizer does nothing to a piece but to write its bytes in its alphabet and give it
+    to the model; so do we, which saves splitting it again. Others encode each piece as a text.
+    """
+    tokenizer = _tokenizer(path)
+    before = tokenizer.pre_tokenizer
+    if type(before).__name__ == "ByteLevel" and not before.add_prefix_space and tokenizer.normalizer is None:
+        of, alphabet = tokenizer.model.tokenize, _alphabet()
+        found = [[t.id for t in of(p.decode("latin-1").translate(alphabet))] for p in parts]
+    else:
+        found = [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in parts], add_special_tokens=False)]
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for x in found for i in x), np.int64, int(count.sum())), count
+
+
 @lru_cache(2)
 def _table(path: str) -> bpe.PieceTable:
     def encode(flat: np.ndarray, offsets: np.ndarray):
-        text = flat.tobytes()
-        at = offsets.tolist()
-        found = [e.ids for e in _tokenizer(path).encode_batch_fast([text[x:y].decode("utf-8") for x, y in zip(at, at[1:])], add_special_tokens=False)]
-        count = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.int64, int(count.sum())), count
+        text, at = flat.tobytes(), offsets.tolist()
+        return library_ids([text[x:y] for x, y in zip(at, at[1:])], path)
 
     return bpe.PieceTable(encode)
 
@@ -86,10 +108,10 @@ def checksums(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def pack(doc_id: np.ndarray, null: np.ndarray, ids: np.ndarray, count: np.ndarray) -> bytes:
     """One segment."""
-    digits, per_block = idcoder.encode(ids)
-    cut = np.append(np.arange(0, len(ids), idcoder.BLOCK), len(ids)) if len(ids) else np.zeros(1, np.int64)
-    head = np.array([len(doc_id), len(ids), len(per_block)], "<i8")
-    return b"".join([MAGIC, head.tobytes(), doc_id.astype("<i8").tobytes(), null.astype(np.uint8).tobytes(), count.astype("<i8").tobytes(), per_block.astype("<u4").tobytes(), checksums(ids, cut).astype("<u4").tobytes(), digits.tobytes()])
+    cut = np.linspace(0, len(ids), max(1, round(len(ids) / idcoder.BLOCK)) + 1).astype(np.int64) if len(ids) else np.zeros(1, np.int64)
+    blocks = [idcoder.encode(ids[x:y]) for x, y in zip(cut, cut[1:])]
+    head = np.array([len(doc_id), len(ids), len(blocks)], "<i8")
+    return b"".join([MAGIC, head.tobytes(), doc_id.astype("<i8").tobytes(), null.astype(np.uint8).tobytes(), count.astype("<i8").tobytes(), np.array([len(x) for x in blocks], "<i8").tobytes(), checksums(ids, cut).astype("<u4").tobytes(), *blocks])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +121,14 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     docs, n, blocks = np.frombuffer(raw, "<i8", 3, 4).tolist()
     at = 28
     out = []
-    for kind, size in (("<i8", docs), ("u1", docs), ("<i8", docs), ("<u4", blocks), ("<u4", blocks)):
+    for kind, size in (("<i8", docs), ("u1", docs), ("<i8", docs), ("<i8", blocks), ("<u4", blocks)):
         out.append(np.frombuffer(raw, kind, size, at))
         at += out[-1].nbytes
     doc_id, null, count, per_block, sums = out
-    ids = idcoder.decode(np.frombuffer(raw, "<u4", int(per_block.sum()), at), per_block.astype(np.int64), n)
-    cut = np.append(np.arange(0, n, idcoder.BLOCK), n) if n else np.zeros(1, np.int64)
-    if not np.array_equal(checksums(ids, cut), sums):
+    ends = at + np.cumsum(per_block)
+    parts = [idcoder.decode(raw[y - x : y]) for x, y in zip(per_block.tolist(), ends.tolist())]
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    if len(ids) != n or not np.array_equal(checksums(ids, c.prefix(np.array([len(x) for x in parts], np.int64))), sums):
         raise ValueError("a block of token ids is damaged")
     return doc_id, null.astype(bool), ids, count
 
@@ -138,7 +161,7 @@ def _writer(folder: str, path: str, end: int):
                     full = np.full(len(ids) + b - a, end, np.int32)
                     full[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(cut))] = ids
                     held.append((a, b, full, np.diff(cut) + 1))
-                    if sum(len(x[2]) for x in held) >= bpe.GROUP_BYTES // 2:
+                    if sum(len(x[2]) for x in held) >= idcoder.BLOCK:
                         flush()
                 flush()
         if rows:
