@@ -1,23 +1,28 @@
 """Operator 8, language-model scoring: a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). Classes are bands of frequency within languages, one for words
-seen once (half of its mass is for the unseen word), one for the end. The first factor is a softmax over classes with
-hashed features: the word before, the word two before (a skip feature), both together, and a bias. The second is the
-word's share of its class.
-
-1. Texts become blocks of word numbers, with each block's dictionary; both are a written table.
-2. Dictionaries meet in one aggregate by word, which gives every word's count and class, and go back to their blocks. Words
-   travel once per block and not once per token; a frequent word has as many rows as there are blocks.
-3. Blocks become class and bucket numbers, with the parts of the scores that don't depend on weights.
-4. Each round, tasks add up observed minus expected features over all training tokens; the sums (of the model's fixed
-   size) are reduced in slices, in two steps, and the driver moves the weights: a gradient step with diagonal curvature.
-5. Each block's distinct n-grams of two and three words, with their training counts, meet in one aggregate and go back to
-   their blocks, with the count and the distinct followers of their context. These counts grow with the corpus.
-6. All texts are scored: the class model's probability is what the counts of two words are smoothed with (Witten-Bell), and
-   the result is what those of three words are smoothed with. Words and contexts are told apart by 64-bit hashes.
-
-Nulls count as empty texts (one end token); a null doc_id is a training row; repeated rows are counted and scored each.
-Without training rows every score is 0 bits of knowledge: base_score follows its formula, score the untrained model.
+P(word | context) = P(class | context) * P(word | class, context). Classes are bands of frequency within languages, one for
+words seen once (half of its mass is for the unseen word), one for the end; languages beyond the LANGS - 1 commonest share
+theirs. The first factor is a softmax over classes with hashed features: the word before, the word two before (a skip
+feature), both together, and a bias. The second begins as the word's share of its class, and the features of the word
+with the one and the two words before move it: their counts grow with the corpus, one hashed feature per different n-gram.
+
+1. Texts become blocks of word numbers, with each block's distinct words as 64-bit hashes.
+2. Blocks push their words' counts to slices of the hash's range, each of which adds up what it gets and answers every
+   block; so do they then with their n-grams, hashed to a width that grows with the rows. Sorted hashes travel as packed
+   differences, some two or three bytes each, and nothing is exploded to rows.
+3. Each block then knows for each of its tokens the training counts of the word and of its n-grams.
+4. Each round of training, tasks add up observed minus expected features over all training tokens, each different context
+   once; the sums (of the class model's fixed size) are reduced in slices, in two steps, and the driver moves the weights:
+   a gradient step with diagonal curvature. How far an n-gram's count is trusted is learnt too: for contexts seen about
+   2**k times, the share of training tokens that would be new after them if left out is what the lower order gets.
+5. All texts are scored in numpy batches.
+
+Slices hold about SLICE entries. There are blocks x slices pieces, which is the square of the input, with few entries in
+each: at 30 GB some 25 million; for far larger tables BLOCK_BYTES and SLICE are to grow.
+
+Nulls count as empty texts (one end token); a null doc_id is a training row; repeated rows are counted and scored each; a
+long text is a block of its own; an empty table gives an empty table. Columns but doc_id, text and lang are ignored, and
+lang only helps to form classes. Without training rows base_score follows its formula, and score is the untrained model's.
 """
 
 from __future__ import annotations
@@ -37,86 +42,136 @@ BLOCK_BYTES = 16 << 20
 LANGS, BANDS = 8, (3e-3, 3e-4, 1e-5)
 RARE, END = LANGS * (len(BANDS) + 1), LANGS * (len(BANDS) + 1) + 1
 CLASSES = END + 1
-FEATURES, ROUNDS, BATCH, SLICES = 1 << 15, 2, 1 << 14, 16
+FEATURES, ROUNDS, BATCH, SLICES = 1 << 15, 2, 1 << 15, 16
+#: Entries (words or n-grams of blocks) that a slice takes, and most words before a token that its n-grams hold.
+SLICE, ORDERS = 1 << 22, 2
 _U = np.uint64
 
-BLOCKS = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, ids binary, word binary, at int, c long, lang int, bucket int"
-SCORED = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, inner binary, classes binary, buckets binary, grams binary, ctx long, gram long, at int, c long"
+BLOCKS = "block long, doc_id array<long>, held array<boolean>, n array<long>, size long, train long, ends long, ids binary, keys binary, c binary, lang binary"
+WORDS = "kind int, block long, slice int, n binary, class binary, at int, tokens long, types long"
+STATE = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, ids binary, keys binary, words binary, classes binary, slice int, piece binary, c binary"
+GRAMS = "block long, slice int, n binary"
+READY = "kind int, doc_id array<long>, held array<boolean>, n array<long>, ids binary, words binary, classes binary, buckets binary, grams binary, at int, novel long, total long"
 FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-#: Words of context of the counted n-grams.
-ORDERS = (1, 2)
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def _fields(schema: str) -> list[list[str]]:
+    return [x.split() for x in schema.split(", ")]
 
 
 def _batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
-    names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([columns[k].cast(kinds[t]) if k in columns else pa.nulls(rows, kinds[t]) for k, t in names], names=[k for k, _ in names])
+    return pa.RecordBatch.from_arrays([columns[k].cast(_KINDS[t]) if k in columns else pa.nulls(rows, _KINDS[t]) for k, t in _fields(schema)], names=[k for k, _ in _fields(schema)])
+
+
+def _empty(schema: str) -> pa.Table:
+    return pa.schema([(k, _KINDS[t]) for k, t in _fields(schema)]).empty_table()
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, compressed; high planes of small numbers cost next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=_U(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, _U), dtype=_U)
 
 
 def _blocks(it):
-    """Rows of kind 0: a run of documents with word numbers (0 is the end); of kind 1: a word of the block."""
     task, serial = TaskContext.get().partitionId(), 0
     for batch in it:
         data, offsets = c.text_buffer(batch.column(3))
         held_out, lang = np.asarray(batch.column(1)), np.asarray(batch.column(2))
         for i, j in c.runs(offsets, BLOCK_BYTES):
             block, serial = (task << 32) | serial, serial + 1
-            body = c.LOWER[data[offsets[i] : offsets[j]]]
-            keys, starts, ends, cuts = [], [], [], []
+            keys, sizes = [], []
             for a, b in c.runs(offsets[i : j + 1]):
-                base = offsets[i + a] - offsets[i]
-                raw, at = body[base : offsets[i + b] - offsets[i]], offsets[i + a : i + b + 1] - offsets[i + a]
+                raw, at = c.LOWER[data[offsets[i + a] : offsets[i + b]]], offsets[i + a : i + b + 1] - offsets[i + a]
                 s, e, cut = c.words(raw, at)
                 keys.append(c.span_hash(raw, s, e))
-                starts.append(s + base)
-                ends.append(e + base)
-                cuts.append((a + i, b + i, cut))
-            key, start, end = np.concatenate(keys), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
-            del keys, starts, ends
-            distinct, first, inverse = c.distinct(key)
-            del key
+                sizes.append(np.diff(cut))
+            n = np.concatenate(sizes)
+            distinct, _, inverse = c.distinct(np.concatenate(keys))
+            del keys
             rank = np.empty(len(distinct), np.int32)
-            rank[np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")] = np.arange(1, len(distinct) + 1)  # small numbers for frequent words
-            ids = rank[inverse]
+            order = np.argsort(-np.bincount(inverse, minlength=len(distinct)), kind="stable")  # small numbers for frequent words
+            rank[order] = np.arange(1, len(distinct) + 1)
+            own = rank[inverse]
             del inverse
-            by = np.zeros((len(distinct) + 1) * LANGS, np.int64)
-            done = 0
-            for a, b, cut in cuts:
-                n = np.diff(cut)
-                own = ids[done : done + cut[-1]]
-                done += int(cut[-1])
-                train = np.repeat(~held_out[a:b], n)
-                cell, times = np.unique(own[train].astype(np.int64) * LANGS + np.repeat(lang[a:b], n)[train], return_counts=True)
-                by[cell] += times
-                full = np.zeros(len(own) + b - a, np.int32)
-                full[np.arange(len(own)) + np.repeat(np.arange(b - a), n)] = own
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x)  # noqa: E731, B023
-                packed = zstandard.ZstdCompressor(level=3).compress(full.tobytes())
-                yield _batch(BLOCKS, 1, kind=pa.array([0]), block=pa.array([block]), doc_id=one(batch.column(0)[a:b]), held=one(pa.array(held_out[a:b])), n=one(pa.array(n + 1)), ids=pa.array([packed], pa.binary()))
-            del ids
-            by = by.reshape(-1, LANGS)
-            order = np.argsort(rank)
-            s, size = start[first[order]].astype(np.int64), (end - start)[first[order]].astype(np.int64)
-            del start, end
-            word = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(c.prefix(size).astype(np.int32)), pa.py_buffer(body[c.ranges(s, size)])])
-            bucket = (distinct[order] >> _U(48)).astype(np.int32)
-            n = len(s)
-            for a in range(0, n, 20_000):
-                b = min(n, a + 20_000)
-                yield _batch(BLOCKS, b - a, kind=pa.array(np.ones(b - a, np.int32)), block=pa.array(np.full(b - a, block)), word=word[a:b], at=pa.array(np.arange(a + 1, b + 1)), c=pa.array(by[a + 1 : b + 1].sum(1)), lang=pa.array(by[a + 1 : b + 1].argmax(1)), bucket=pa.array(bucket[a:b]))
-            del body, by, distinct, first, order, word
+            train = ~held_out[i:j]
+            of = np.repeat(train, n)
+            by = np.bincount(own[of].astype(np.int64) * LANGS + np.repeat(lang[i:j], n)[of], minlength=(len(distinct) + 1) * LANGS).reshape(-1, LANGS)[1:]
+            full = np.zeros(len(own) + j - i, np.int32)
+            full[np.arange(len(own)) + np.repeat(np.arange(j - i), n)] = own
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x)  # noqa: E731, B023
+            yield _batch(
+                BLOCKS, 1, block=pa.array([block]), doc_id=one(batch.column(0)[i:j]), held=one(pa.array(held_out[i:j])), n=one(pa.array(n + 1)), size=pa.array([len(distinct)]), train=pa.array([int(by.sum())]), ends=pa.array([int(train.sum())]),
+                ids=pa.array([zstandard.ZstdCompressor(level=3).compress(full.tobytes())], pa.binary()), keys=pa.array([distinct[order].tobytes()], pa.binary()), c=pa.array([pack(by.sum(1))], pa.binary()), lang=pa.array([pack(by.argmax(1).astype(np.uint8))], pa.binary()),
+            )
+            del full, own, by, distinct, order
             c.trim()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """The table of blocks of docs(doc_id, text, lang); lang only helps to form classes."""
+    """The table of blocks of docs(doc_id, text, lang); the first word of a block has number 1, the end has 0."""
     langs = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS - 1).collect()]
     code = F.lit(LANGS - 1)
     for k, name in enumerate(langs):
         code = F.when(F.col("lang").eqNullSafe(F.lit(name)), k).otherwise(code)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % 5 == 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), code.cast("int").alias("lang"), "text")
-    return c.written(rows.mapInArrow(_blocks, BLOCKS), "blocks", ["kind"])
+    return c.written(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+
+
+def _bits(entries: int) -> int:
+    """Leading bits of a hash that number its slice."""
+    return max(0, (max(entries, 1) - 1) // SLICE).bit_length()
+
+
+def _sliced(keys: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slices that sorted keys of so many bits fall in, and where each begins and ends."""
+    of = (keys >> _U(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first], np.append(first, len(keys))
+
+
+def _push_words(bits: int):
+    def run(it):
+        for batch in it:
+            for row in batch.to_pylist():
+                keys = np.frombuffer(row["keys"], _U)
+                order = np.argsort(keys)
+                keys, times, lang = keys[order], unpack(row["c"], np.int64)[order], unpack(row["lang"], np.uint8)[order]
+                of, cut = _sliced(keys, 64, bits)
+                for s, a, b in zip(of.tolist(), cut.tolist(), cut[1:].tolist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in (keys[a:b].tobytes(), pack(times[a:b]), pack(lang[a:b])))], names=["slice", "block", "piece", "c", "lang"])
+
+    return run
+
+
+def _slices(it):
+    """Tables of the rows of one slice each, of batches sorted by slice."""
+    held: list = []
+    for batch in it:
+        of = np.asarray(batch.column(0))
+        cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cut, cut[1:]):
+            if held and a < b and held[-1].column(0)[0].as_py() != of[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Counts:
@@ -128,261 +183,350 @@ class Counts:
         self.active = sorted({k for k, (n, _) in by_class.items() if n} | {RARE, END})
 
 
-def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
-    """Each dictionary row with its word's count and class, and the totals."""
-    own = table.where("kind = 1").select("block", "at", "word", "c", "lang", "bucket", F.xxhash64("word").alias("w"))
-    # the language of the block that has a word most often, packed with its count
-    total = c.written(own.groupBy("word").agg(F.sum("c").alias("n"), F.max(F.col("c") * LANGS + F.col("lang")).alias("most")), "counts")
-    runs = table.where("kind = 0")
-    sums = total.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-    ends = runs.agg(F.sum(F.expr("size(filter(held, x -> NOT x))"))).first()[0] or 0
-    tokens, types = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
-    band = F.lit(len(BANDS))
+def class_of(n: np.ndarray, lang: np.ndarray, tokens: int) -> np.ndarray:
+    band = np.full(len(n), len(BANDS))
     for k in reversed(range(len(BANDS))):
-        band = F.when(F.col("n") >= BANDS[k] * tokens, k).otherwise(band)
-    known = total.select("word", "n", F.when(F.col("n") < 2, RARE).otherwise((F.col("most") % LANGS) * (len(BANDS) + 1) + band).cast("int").alias("class"))
-    joined = c.written(own.select("block", "at", "word", "bucket", "w").join(known, "word").select("block", "at", "bucket", "w", "n", "class"), "words")
-    sizes = known.groupBy("class").agg(F.sum("n"), F.count_if(F.col("n") > 0)).collect()
-    return joined, Counts(tokens, types, ends, {r[0]: (r[1], r[2]) for r in sizes})
-
-
-def _parts(counts: Counts):
-    def run(runs: pa.Table, words: pa.Table) -> pa.Table:
-        column = lambda t, k: np.asarray(t.column(k).combine_chunks() if t.column(k).num_chunks != 1 else t.column(k).chunk(0))
-        n = len(words) + 1
-        count, kind, bucket, w = np.zeros(n, np.int64), np.full(n, END), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        if n > 1:
-            at = column(words, "at")
-            count[at], kind[at], bucket[at], w[at] = column(words, "n"), column(words, "class"), column(words, "bucket"), column(words, "w")
-        count[0] = counts.ends
-        base = np.log10((count + 0.5) / (counts.tokens + 0.5 * (counts.types + 1)))
-        mass = np.ones(CLASSES)
-        for k, (tokens, _) in counts.by_class.items():
-            mass[k] = max(tokens, 1)
-        inner = np.log10(np.maximum(count, 1) / mass[kind])
-        inner[0] = 0.0
-        once = max(counts.by_class.get(RARE, (0, 0))[1], 1)
-        rare = kind == RARE
-        inner[rare] = np.where(count[rare] > 0, np.log10(0.5 / once), np.log10(0.5))
-        place = np.zeros(CLASSES, np.int64)
-        place[counts.active] = np.arange(len(counts.active))
-        kind = place[kind]
-        w = c.mix(w.view(_U) + _U(1))
-        out, block, held, contexts, grams, cuts = [], runs.column("block")[0].as_py() if len(runs) else 0, [], [], [], []
-        for k in range(len(runs)):
-            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(runs.column("ids")[k].as_py()), np.int32)
-            size = np.asarray(runs.column("n")[k].values)
-            cut = np.cumsum(size) - size
-            add = lambda x: np.add.reduceat(x[ids], cut)  # noqa: E731, B023
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x)  # noqa: E731, B023
-            ctx = _histories(w[ids], np.repeat(np.arange(len(size)), size))
-            contexts.append(ctx)
-            grams.append(c.mix(ctx * _U(0xE7037ED1A0B428DB) + w[ids]))
-            held.append(np.repeat(np.asarray(runs.column("held")[k].values), size))
-            cuts.append(dict(kind=pa.array([0]), block=pa.array([block]), doc_id=one(runs.column("doc_id")[k].values), held=one(runs.column("held")[k].values), n=one(pa.array(size)), known=one(pa.array(add((count > 0).astype(np.int64)))), base=one(pa.array(add(base))), inner=_packed(inner[ids].astype(np.float32)), classes=pa.array([kind[ids].astype(np.uint8).tobytes()], pa.binary()), buckets=pa.array([bucket[ids].astype("<u2").tobytes()], pa.binary())))
-        if cuts:
-            train = ~np.concatenate(held)
-            ends = np.cumsum([x.shape[1] for x in grams])
-            numbers, done = [], 0
-            for o in range(len(ORDERS)):
-                gram = np.concatenate([x[o] for x in grams])
-                distinct, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-                own = np.concatenate([x[o] for x in contexts])[first]
-                times = np.bincount(inverse[train], minlength=len(distinct))
-                for a in range(0, len(distinct), 50_000):
-                    b = min(a + 50_000, len(distinct))
-                    out.append(_batch(SCORED, b - a, kind=pa.array(np.ones(b - a, np.int32)), block=pa.array(np.full(b - a, block)), ctx=pa.array(own[a:b].view(np.int64)), gram=pa.array(distinct[a:b].view(np.int64)), at=pa.array(np.arange(a, b) + done), c=pa.array(times[a:b])))
-                numbers.append((inverse + done).astype(np.int32))
-                done += len(distinct)
-            for x, a, b in zip(cuts, np.append(0, ends), ends):
-                out.append(_batch(SCORED, 1, **x, grams=_packed(np.stack([m[a:b] for m in numbers]))))
-        c.trim()
-        return pa.Table.from_batches(out) if out else _batch(SCORED, 0, **{}).schema.empty_table()
+        band[n >= BANDS[k] * tokens] = k
+    return np.where(n < 2, RARE, lang.astype(np.int64) * (len(BANDS) + 1) + band).astype(np.uint8)
+
+
+def _total_words(tokens: int):
+    def run(it):
+        for table in _slices(it):
+            pieces = [np.frombuffer(x.as_py(), _U) for x in table.column("piece")]
+            times = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("c")])
+            lang = np.concatenate([unpack(x.as_py(), np.uint8) for x in table.column("lang")])
+            distinct, inverse = np.unique(np.concatenate(pieces), return_inverse=True)
+            n = np.bincount(inverse, times, len(distinct)).astype(np.int64)
+            most = np.zeros(len(distinct), np.int64)  # the language of the block that has a word most often, with its count
+            np.maximum.at(most, inverse, times * LANGS + lang)
+            kind = class_of(n, most % LANGS, tokens)
+            cut = c.prefix(np.array([len(x) for x in pieces], np.int64)).tolist()
+            for block, a, b in zip(table.column("block").to_pylist(), cut, cut[1:]):
+                yield _batch(WORDS, 1, kind=pa.array([0]), block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()), **{"class": pa.array([pack(kind[inverse[a:b]])], pa.binary())})
+            sums, types = np.bincount(kind, n, CLASSES).astype(np.int64), np.bincount(kind, n > 0, CLASSES).astype(np.int64)
+            yield _batch(WORDS, CLASSES, kind=pa.array(np.ones(CLASSES, np.int32)), at=pa.array(np.arange(CLASSES)), tokens=pa.array(sums), types=pa.array(types))
+            c.trim()
 
     return run
 
 
-def _packed(x: np.ndarray) -> pa.Array:
-    return pa.array([zstandard.ZstdCompressor(level=3).compress(x.tobytes())], pa.binary())
+def _reduced(pieces: DataFrame, bits: int, run, schema: str) -> DataFrame:
+    """Pieces brought together by slice and given slice by slice to run."""
+    parts = min(1 << bits, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.repartition(parts, "slice").sortWithinPartitions("slice", "block").mapInArrow(run, schema)
+
+
+def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
+    """Counts and classes of each block's words, by slice, and the totals."""
+    sizes = table.agg(F.sum("train"), F.sum("ends"), F.sum("size")).first()
+    ends, bits = sizes[1] or 0, _bits(sizes[2] or 0)
+    tokens = (sizes[0] or 0) + ends
+    pieces = table.select("block", "keys", "c", "lang").mapInArrow(_push_words(bits), "slice int, block long, piece binary, c binary, lang binary")
+    words = c.written(_reduced(pieces, bits, _total_words(tokens), WORDS), "words")
+    by_class = {r[0]: (r[1], r[2]) for r in words.where("kind = 1").groupBy("at").agg(F.sum("tokens"), F.sum("types")).collect()}
+    return words, Counts(tokens, sum(t for _, t in by_class.values()) + (ends > 0), ends, by_class)
+
+
+def _ids(row: dict) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32)
 
 
-def _unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+def _docs(row: dict) -> np.ndarray:
+    n = np.asarray(row["n"], np.int64)
+    return np.repeat(np.arange(len(n)), n)
 
 
-def _histories(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Orders x tokens: a hash of the words before each token, of which those before the text count as one word."""
+def histories(w: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """By order: a hash of the words before each token, of which those before the text count as one word."""
     out, history = [], np.zeros(len(w), _U)
-    for k in range(1, max(ORDERS) + 1):
+    for k in range(1, ORDERS + 1):
         before = np.zeros(len(w), _U)
-        before[k:] = np.where(doc[k:] == doc[:-k], w[:-k], 0)
+        before[k:] = np.where(doc[k:] == doc[:-k], w[:-k], _U(0))
         history = c.mix(history * _U(0xA0761D6478BD642F) + before + _U(k))
-        if k in ORDERS:
-            out.append(history)
-    return np.stack(out)
-
-
-def counted(scored: DataFrame) -> DataFrame:
-    """By block and number of an n-gram: its training count n, its context's count m and distinct followers t, if m > 0."""
-    own = scored.where("kind = 1").select("block", "at", "ctx", "gram", "c")
-    total = c.written(own.groupBy("ctx", "gram").agg(F.sum("c").alias("n")), "grams")
-    contexts = total.where("n > 0").groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("t"))
-    known = total.join(contexts, "ctx").select("gram", "ctx", "n", "m", "t")
-    return own.select("block", "at", "ctx", "gram").join(known, ["ctx", "gram"]).select((F.col("block") + 0).alias("block"), "at", "n", "m", "t")
-
-
-def smoothed(p: np.ndarray, n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Witten-Bell: n of m followers of a context, t of them different, with what p expects of new ones."""
-    return np.where(m > 0, (n + t * p) / np.maximum(m + t, 1), p)
-
-
-def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, features (tokens x 3) and the document of each token of a run."""
-    kind, bucket = np.frombuffer(row["classes"], np.uint8), np.frombuffer(row["buckets"], "<u2").astype(_U) + _U(1)
-    size = np.asarray(row["n"], np.int64)
-    doc = np.repeat(np.arange(len(size)), size)
-    one, two = np.zeros(len(kind), _U), np.zeros(len(kind), _U)
-    one[1:] = np.where(doc[1:] == doc[:-1], bucket[:-1], 0)
-    two[2:] = np.where(doc[2:] == doc[:-2], bucket[:-2], 0)
-    hashed = [c.mix(x) >> _U(49) for x in (one + _U(1 << 20), two + _U(1 << 21), (one << _U(24)) + two + _U(1 << 50))]
-    return kind.astype(np.int64), np.stack([h.astype(np.int64) for h in hashed], 1), doc
-
-
-def predict(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """log P(class | features), natural, tokens x classes."""
-    x = weights[features[:, 0]] + weights[features[:, 1]]
-    x += weights[features[:, 2]]
-    x += bias
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+        out.append(history)
+    return out
+
+
+def _grams(row: dict, width: int):
+    """By order: the distinct n-grams of a block, sorted hashes of so many bits, and the number of each token's."""
+    w = np.append(_U(1), c.mix(np.frombuffer(row["keys"], _U) ^ _U(0x632BE59BD9B4E019)))[_ids(row)]
+    for k, context in enumerate(histories(w, _docs(row))):
+        gram = c.mix(context * _U(0xE7037ED1A0B428DB) + w + _U(k)) >> _U(64 - width)
+        yield np.unique(gram, return_inverse=True)
+
+
+def _push_grams(width: int, bits: int):
+    def run(blocks_: pa.Table, words: pa.Table) -> pa.Table:
+        out, words = [], words.sort_by("slice")
+        for row in blocks_.to_pylist():
+            order = np.argsort(np.frombuffer(row["keys"], _U))
+            n, kind = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint8)
+            if len(order):
+                n[order] = np.concatenate([unpack(x.as_py(), np.int64) for x in words.column("n")])
+                kind[order] = np.concatenate([unpack(x.as_py(), np.uint8) for x in words.column("class")])
+            same = {k: pa.array([row[k]], _KINDS[t]) for k, t in _fields(STATE) if k in ("block", "doc_id", "held", "n", "ids", "keys")}
+            out.append(_batch(STATE, 1, kind=pa.array([0]), words=pa.array([pack(n)], pa.binary()), classes=pa.array([pack(kind)], pa.binary()), **same))
+            train = ~np.asarray(row["held"], bool)[_docs(row)]
+            for order_, (gram, inverse) in enumerate(_grams(row, width)):
+                times = np.bincount(inverse[train], minlength=len(gram)).astype(np.int32)
+                of, cut = _sliced(gram, width, bits)
+                for s, a, b in zip(of.tolist(), cut.tolist(), cut[1:].tolist()):
+                    out.append(_batch(STATE, 1, kind=pa.array([1]), block=pa.array([row["block"]]), slice=pa.array([(order_ << bits) + s]), piece=pa.array([pack_sorted(gram[a:b])], pa.binary()), c=pa.array([pack(times[a:b])], pa.binary())))
+        c.trim()
+        return pa.Table.from_batches(out) if out else _empty(STATE)
 
+    return run
 
-def probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """P(class | features)."""
-    x = weights[features[:, 0]] + weights[features[:, 1]]
-    x += weights[features[:, 2]]
-    x += bias
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+
+def _total_grams(it):
+    for table in _slices(it):
+        pieces = [unpack_sorted(x.as_py()) for x in table.column("piece")]
+        times = np.concatenate([unpack(x.as_py(), np.int32) for x in table.column("c")])
+        _, inverse = np.unique(np.concatenate(pieces), return_inverse=True)
+        n = np.bincount(inverse, times).astype(np.int64)
+        cut = c.prefix(np.array([len(x) for x in pieces], np.int64)).tolist()
+        del pieces, times
+        for block, a, b in zip(table.column("block").to_pylist(), cut, cut[1:]):
+            yield _batch(GRAMS, 1, block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()))
+        c.trim()
+
+
+def contexts_seen(grams: np.ndarray, before: np.ndarray, doc: np.ndarray, ends: int) -> np.ndarray:
+    """By order and token: how often training has its context. grams: counts of each token's n-grams, by order; before: of
+    each token's word. A context of one word is followed as often as the word comes, one of two as often as their n-gram."""
+    first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
+    out = np.empty((ORDERS, len(doc)), np.int64)
+    for k, x in enumerate((before, *grams[: ORDERS - 1])):
+        out[k, 1:] = x[:-1]
+        out[k, first] = ends
+    return out
+
+
+def _bucket(m: np.ndarray) -> np.ndarray:
+    """The power of two that m reaches; 0 for none."""
+    return np.frexp(m.astype(np.float64))[1]
+
+
+BUCKETS = 64
+
+
+def _ready(width: int, ends: int):
+    def run(state: pa.Table, grams: pa.Table) -> pa.Table:
+        out, grams = [], grams.sort_by("slice")
+        got = np.concatenate([unpack(x.as_py(), np.int64) for x in grams.column("n")]) if len(grams) else np.zeros(0, np.int64)
+        for row in state.to_pylist():
+            per_token, done = [], 0
+            for gram, inverse in _grams(row, width):
+                per_token.append(got[done : done + len(gram)][inverse])
+                done += len(gram)
+            per_token, doc, ids = np.stack(per_token), _docs(row), _ids(row)
+            n = np.append(ends, unpack(row["words"], np.int64))
+            train = ~np.asarray(row["held"], bool)[doc]
+            seen = _bucket(contexts_seen(per_token, n[ids], doc, ends)[:, train])
+            total = np.stack([np.bincount(x, minlength=BUCKETS) for x in seen])
+            novel = np.stack([np.bincount(x[y == 1], minlength=BUCKETS) for x, y in zip(seen, per_token[:, train])])
+            buckets = (np.frombuffer(row["keys"], _U) >> _U(48)).astype(np.uint16)
+            same = {k: pa.array([row[k]], _KINDS[t]) for k, t in _fields(READY) if k in ("doc_id", "held", "n", "ids", "words", "classes")}
+            out.append(_batch(READY, 1, kind=pa.array([0]), buckets=pa.array([buckets.tobytes()], pa.binary()), grams=pa.array([pack(per_token.reshape(-1))], pa.binary()), **same))
+            out.append(_batch(READY, ORDERS * BUCKETS, kind=pa.array(np.ones(ORDERS * BUCKETS, np.int32)), at=pa.array(np.arange(ORDERS * BUCKETS)), novel=pa.array(novel.reshape(-1)), total=pa.array(total.reshape(-1))))
+        c.trim()
+        return pa.Table.from_batches(out) if out else _empty(READY)
+
+    return run
+
+
+def trusted(ready: DataFrame) -> np.ndarray:
+    """By order and power of two of a context's count: what the lower order gets."""
+    novel, total = np.zeros(ORDERS * BUCKETS), np.zeros(ORDERS * BUCKETS)
+    for at, x, y in ready.where("kind = 1").groupBy("at").agg(F.sum("novel"), F.sum("total")).collect():
+        novel[at], total[at] = x, y
+    return np.clip((novel + 0.5) / (total + 1), 1e-3, 1 - 1e-3).reshape(ORDERS, BUCKETS)
+
+
+def smoothed(p: np.ndarray, n: np.ndarray, m: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """n of m followers of a context, and the part rest of the lower order's p; p where the context wasn't seen."""
+    return np.where(m > 0, (1 - rest) * n / np.maximum(m, 1) + rest * p, p)
+
+
+def _features(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """Slots of the features of the words (by bucket from 1; 0: before the text) one and two before."""
+    return [(c.mix(x) >> _U(49)).astype(np.int32) for x in (one + _U(1 << 20), two + _U(1 << 21), (one << _U(24)) + two + _U(1 << 50))]
+
+
+def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's context of the class model, as one number, and its document."""
+    bucket = np.append(_U(0xFFFF), np.frombuffer(row["buckets"], np.uint16).astype(_U))[_ids(row)] + _U(1)
+    doc = _docs(row)
+    one, two = np.zeros(len(doc), _U), np.zeros(len(doc), _U)
+    one[1:] = np.where(doc[1:] == doc[:-1], bucket[:-1], _U(0))
+    two[2:] = np.where(doc[2:] == doc[:-2], bucket[:-2], _U(0))
+    return one << _U(17) | two, doc
+
+
+def logits(weights: np.ndarray, bias: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Classes x contexts: sums of the features' weights (classes x FEATURES) and the bias."""
+    slots = _features(context >> _U(17), context & _U((1 << 17) - 1))
+    x = np.repeat(bias[:, None], len(context), 1)
+    for k in range(len(bias)):
+        for f in slots:
+            x[k] += weights[k].take(f)
     return x
 
 
-def _train_rows(row: dict):
-    kind, features, doc = _contexts(row)
-    use = ~np.asarray(row["held"], bool)[doc]
-    return kind[use], features[use]
+def probabilities(weights: np.ndarray, bias: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """P(class | context), classes x contexts."""
+    x = logits(weights, bias, context)
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
-def _sums(state, classes: int):
-    """Per task and slice of the features, sums over training tokens: observed where state is None, else expected."""
+def _sums(state, places: np.ndarray):
+    """Per task and slice of the classes' features, sums over training tokens: observed where state is None, else expected."""
+    classes = int(places.max()) + 1
 
     def run(it):
-        total = np.zeros((FEATURES, classes), np.float64 if state is None else np.float32)
-        flat = total.reshape(-1)
+        total = np.zeros((classes, FEATURES))
         weights, bias = state.value if state is not None else (None, None)
         for batch in it:
             for row in batch.to_pylist():
-                kind, features = _train_rows(row)
+                context, doc = _contexts(row)
+                use = ~np.asarray(row["held"], bool)[doc]
+                context = context[use]
                 if state is None:
-                    for f in features.T:
-                        flat += np.bincount(f * classes + kind, minlength=flat.size)
+                    kind = places[np.append(END, unpack(row["classes"], np.uint8))[_ids(row)]][use]
+                    for f in _features(context >> _U(17), context & _U((1 << 17) - 1)):
+                        total.reshape(-1)[:] += np.bincount(kind * FEATURES + f, minlength=total.size)
                     continue
-                for a in range(0, len(kind), BATCH):
-                    some = features[a : a + BATCH]
-                    p = probabilities(weights, bias, some)
-                    for f in some.T:
-                        order = np.argsort(f)
-                        first = np.flatnonzero(np.diff(f[order], prepend=-1))
-                        total[f[order][first]] += np.add.reduceat(p[order], first, 0)
-        parts = total.astype(np.float32).reshape(SLICES, -1)
+                context, times = np.unique(context, return_counts=True)
+                for a in range(0, len(context), BATCH):
+                    some = context[a : a + BATCH]
+                    p = probabilities(weights, bias, some) * times[a : a + BATCH]
+                    for f in _features(some >> _U(17), some & _U((1 << 17) - 1)):
+                        for k in range(classes):
+                            total[k] += np.bincount(f, p[k], FEATURES)
+        parts = np.ascontiguousarray(total.T).astype(np.float32).reshape(SLICES, -1)
         del total
         c.trim()
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array(np.full(SLICES, task)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array(np.full(SLICES, task)), pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in parts], pa.binary())], names=["slice", "part", "sums"])
 
     return run
 
 
-def _add(key: str):
-    def run(table: pa.Table) -> pa.Table:
-        total = 0.0
-        for x in table.column("sums"):
-            total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    return run
+def _add(table: pa.Table) -> pa.Table:
+    total = 0.0
+    for x in table.column("sums"):
+        total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), np.float32).astype(np.float64)
+    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()), "sums": pa.array([zstandard.ZstdCompressor(level=1).compress(total.astype(np.float32).tobytes())], pa.binary())})
 
 
-def _gather(scored: DataFrame, state, classes: int) -> np.ndarray:
+def _gather(ready: DataFrame, state, places: np.ndarray) -> np.ndarray:
     """The sums of all tasks, FEATURES x classes: added within about a square root of the tasks, then altogether."""
     schema = "slice long, part long, sums binary"
-    parts = scored.select("held", "n", "classes", "buckets").mapInArrow(_sums(state, classes), schema)
-    wide = max(1, int(scored.rdd.getNumPartitions() ** 0.5))
-    near = parts.withColumn("part", F.pmod("part", F.lit(wide))).groupBy("slice", "part").applyInArrow(_add("part"), schema)
-    rows = near.groupBy("slice").applyInArrow(_add("slice"), schema).collect()  # the model's size, whatever the input
+    parts = ready.select("held", "n", "ids", "classes", "buckets").mapInArrow(_sums(state, places), schema)
+    wide = max(1, int(ready.rdd.getNumPartitions() ** 0.5))
+    near = parts.withColumn("part", F.pmod("part", F.lit(wide))).groupBy("slice", "part").applyInArrow(_add, schema)
+    rows = near.groupBy("slice").applyInArrow(_add, schema).collect()  # the model's size, whatever the input
+    classes = int(places.max()) + 1
     out = np.zeros((SLICES, FEATURES // SLICES * classes))
     for r in rows:
-        out[r["slice"]] = np.frombuffer(r["sums"], np.float32)
+        out[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["sums"]), np.float32)
     return out.reshape(FEATURES, classes)
 
 
-def train(scored: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the class model."""
-    seen = _gather(scored, None, classes)
-    share = (seen.sum(0) + 1) / (seen.sum() + classes)
-    bias = np.log(share).astype(np.float32)
+def placed(counts: Counts) -> np.ndarray:
+    """The number, among the classes the model tells apart, of each class."""
+    places = np.zeros(CLASSES, np.int64)
+    places[counts.active] = np.arange(len(counts.active))
+    return places
+
+
+def train(ready: DataFrame, places: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (classes x FEATURES) and bias of the class model."""
+    seen = _gather(ready, None, places)
+    share = (seen.sum(0) + 1) / (seen.sum() + seen.shape[1])
+    bias = np.log(share)
     weights = 0.5 * (np.log((seen + 4 * share) / (seen.sum(1, keepdims=True) + 4)) - np.log(share))
+    done = lambda: (np.ascontiguousarray(weights.T, np.float32), bias.astype(np.float32))
     for _ in range(rounds):
-        state = scored.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # of the model's fixed size
-        expected = _gather(scored, state, classes)
+        state = ready.sparkSession.sparkContext.broadcast(done())  # of the model's fixed size
+        expected = _gather(ready, state, places)
         weights += np.clip((seen - expected) / (expected + 2.0), -1.5, 3.0) / 2.0
         state.unpersist()
-    return weights.astype(np.float32), bias
+    return done()
+
 
+def _score(state, rest: np.ndarray, counts: Counts):
+    places = placed(counts)
+    mass = np.ones(CLASSES)
+    for k, (tokens, _) in counts.by_class.items():
+        mass[k] = max(tokens, 1)
+    once = max(counts.by_class.get(RARE, (0, 0))[1], 1)
 
-def _score(state):
-    def run(runs: pa.Table, grams: pa.Table) -> pa.Table:
+    def run(it):
         weights, bias = state.value
-        size = max((int(_unpacked(x.as_py(), np.int32).max(initial=-1)) for x in runs.column("grams")), default=-1) + 1
-        by = np.zeros((3, size))
-        if len(grams):
-            at = np.asarray(grams.column("at"))
-            for k, name in enumerate("nmt"):
-                by[k, at] = np.asarray(grams.column(name))
-        out = []
-        for row in runs.to_pylist():
-            kind, features, doc = _contexts(row)
-            got = np.empty(len(kind))
-            for a in range(0, len(kind), BATCH):
-                own = kind[a : a + BATCH]
-                got[a : a + BATCH] = predict(weights, bias, features[a : a + BATCH])[np.arange(len(own)), own]
-            p = np.exp(got) * 10.0 ** _unpacked(row["inner"], np.float32).astype(np.float64)
-            for number in _unpacked(row["grams"], np.int32).reshape(len(ORDERS), -1):
-                p = smoothed(p, *by[:, number])
-            n = np.asarray(row["n"], np.int64)
-            total = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), np.cumsum(n) - n)
-            out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(total)], names=[x.split()[0] for x in FINAL.split(", ")]))
-        c.trim()
-        empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-        return pa.Table.from_batches(out) if out else empty
+        for batch in it:
+            for row in batch.to_pylist():
+                ids, (context, doc) = _ids(row), _contexts(row)
+                n, kind = np.append(counts.ends, unpack(row["words"], np.int64)), np.append(END, unpack(row["classes"], np.uint8))
+                base = np.log10((n + 0.5) / (counts.tokens + 0.5 * (counts.types + 1)))
+                inner = np.maximum(n, 1) / mass[kind]
+                inner[0] = 1.0
+                inner[kind == RARE] = np.where(n[kind == RARE] > 0, 0.5 / once, 0.5)
+                distinct, inverse = np.unique(context, return_inverse=True)
+                own, p = places[kind[ids]], np.empty(len(ids))
+                order = np.argsort(inverse, kind="stable")
+                cut = np.searchsorted(inverse[order], np.arange(0, len(distinct) + BATCH, BATCH))
+                for k, a in enumerate(range(0, len(distinct), BATCH)):
+                    some = order[cut[k] : cut[k + 1]]
+                    p[some] = probabilities(weights, bias, distinct[a : a + BATCH])[own[some], inverse[some] - a]
+                p *= inner[ids]
+                grams = unpack(row["grams"], np.int64).reshape(ORDERS, -1)
+                for k, m in enumerate(contexts_seen(grams, n[ids], doc, counts.ends)):
+                    p = smoothed(p, grams[k], m, rest[k][_bucket(m)])
+                size = np.asarray(row["n"], np.int64)
+                at = np.cumsum(size) - size
+                add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size), pa.array(add((n > 0)[ids].astype(np.int64))), pa.array(add(base[ids])), pa.array(add(np.log10(np.maximum(p, 1e-300))))], names=[k for k, _ in _fields(FINAL)])
+            c.trim()
 
     return run
 
 
+class Fitted:
+    """What was learnt, and the table of blocks to score."""
+
+    def __init__(self, docs: DataFrame):
+        width = min(64, 28 + max(8, docs.count().bit_length()))  # so that n-grams collide as seldom at every size
+        table = blocks(docs)
+        words, self.counts = count_words(table)
+        sizes = table.agg(F.sum(F.expr("aggregate(n, 0L, (x, y) -> x + y)"))).first()[0] or 0
+        bits = _bits(2 * sizes)
+        state = c.written(table.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(_push_grams(width, bits), STATE), "state", ["kind"])
+        c.dropped(table)
+        c.dropped(words)
+        pieces = state.where("kind = 1").select("slice", "block", "piece", "c")
+        grams = c.written(_reduced(pieces, bits + 1, _total_grams, GRAMS), "grams")
+        own = state.where("kind = 0").select("block", "doc_id", "held", "n", "ids", "keys", "words", "classes")
+        ready = c.written(own.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ready(width, self.counts.ends), READY), "ready", ["kind"])
+        c.dropped(state)
+        c.dropped(grams)
+        self.rest = trusted(ready)
+        self.ready = ready.where("kind = 0").select("doc_id", "held", "n", "ids", "words", "classes", "buckets", "grams")
+        self.weights, self.bias = train(self.ready, placed(self.counts))
+
+    def scores(self) -> DataFrame:
+        state = self.ready.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        return self.ready.mapInArrow(_score(state, self.rest, self.counts), FINAL)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs(doc_id, text, lang)."""
-    table = blocks(docs)
-    words, counts = count_words(table)
-    runs = table.where("kind = 0").select("block", "doc_id", "held", "n", "ids")
-    scored = c.written(runs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_parts(counts), SCORED), "scored", ["kind"])
-    c.dropped(table)
-    c.dropped(words)
-    runs = scored.where("kind = 0").select("block", "doc_id", "held", "n", "known", "base", "inner", "classes", "buckets", "grams")
-    state = docs.sparkSession.sparkContext.broadcast(train(runs, len(counts.active)))
-    out = runs.groupBy("block").cogroup(counted(scored).groupBy("block")).applyInArrow(_score(state), FINAL)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    fitted = Fitted(docs)
+    return fitted.scores().select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(doc_id: int | None) -> bool:
