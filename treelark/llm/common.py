@@ -8,6 +8,7 @@ columns the operator doesn't need are never looked at, so their names can't clas
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -66,6 +67,12 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that nothing refers to any more; it learns of them when garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key() -> Column:
     """Tells apart rows of one doc_id with different texts."""
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))

@@ -48,9 +48,8 @@ SLICE, ORDERS = 1 << 22, 2
 _U = np.uint64
 
 BLOCKS = "block long, doc_id array<long>, held array<boolean>, n array<long>, size long, train long, ends long, ids binary, keys binary, c binary, lang binary"
-WORDS = "kind int, block long, slice int, n binary, class binary, at int, tokens long, types long"
-STATE = "kind int, block long, doc_id array<long>, held array<boolean>, n array<long>, ids binary, keys binary, words binary, classes binary, slice int, piece binary, c binary"
-GRAMS = "block long, slice int, n binary"
+#: To blocks: of kind 0 about words, of kind 2 about n-grams; of kind 1, the classes' sums.
+ANSWERS = "kind int, block long, slice int, n binary, class binary, at int, tokens long, types long"
 READY = "kind int, doc_id array<long>, held array<boolean>, n array<long>, ids binary, words binary, classes binary, buckets binary, grams binary, at int, novel long, total long"
 FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
@@ -115,7 +114,7 @@ def _blocks(it):
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x)  # noqa: E731, B023
             yield _batch(
                 BLOCKS, 1, block=pa.array([block]), doc_id=one(batch.column(0)[i:j]), held=one(pa.array(held_out[i:j])), n=one(pa.array(n + 1)), size=pa.array([len(distinct)]), train=pa.array([int(by.sum())]), ends=pa.array([int(train.sum())]),
-                ids=pa.array([zstandard.ZstdCompressor(level=3).compress(full.tobytes())], pa.binary()), keys=pa.array([distinct[order].tobytes()], pa.binary()), c=pa.array([pack(by.sum(1))], pa.binary()), lang=pa.array([pack(by.argmax(1).astype(np.uint8))], pa.binary()),
+                ids=pa.array([pack(full)], pa.binary()), keys=pa.array([distinct[order].tobytes()], pa.binary()), c=pa.array([pack(by.sum(1))], pa.binary()), lang=pa.array([pack(by.argmax(1).astype(np.uint8))], pa.binary()),
             )
             del full, own, by, distinct, order
             c.trim()
@@ -203,9 +202,9 @@ def _total_words(tokens: int):
             kind = class_of(n, most % LANGS, tokens)
             cut = c.prefix(np.array([len(x) for x in pieces], np.int64)).tolist()
             for block, a, b in zip(table.column("block").to_pylist(), cut, cut[1:]):
-                yield _batch(WORDS, 1, kind=pa.array([0]), block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()), **{"class": pa.array([pack(kind[inverse[a:b]])], pa.binary())})
+                yield _batch(ANSWERS, 1, kind=pa.array([0]), block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()), **{"class": pa.array([pack(kind[inverse[a:b]])], pa.binary())})
             sums, types = np.bincount(kind, n, CLASSES).astype(np.int64), np.bincount(kind, n > 0, CLASSES).astype(np.int64)
-            yield _batch(WORDS, CLASSES, kind=pa.array(np.ones(CLASSES, np.int32)), at=pa.array(np.arange(CLASSES)), tokens=pa.array(sums), types=pa.array(types))
+            yield _batch(ANSWERS, CLASSES, kind=pa.array(np.ones(CLASSES, np.int32)), at=pa.array(np.arange(CLASSES)), tokens=pa.array(sums), types=pa.array(types))
             c.trim()
 
     return run
@@ -223,13 +222,13 @@ def count_words(table: DataFrame) -> tuple[DataFrame, Counts]:
     ends, bits = sizes[1] or 0, _bits(sizes[2] or 0)
     tokens = (sizes[0] or 0) + ends
     pieces = table.select("block", "keys", "c", "lang").mapInArrow(_push_words(bits), "slice int, block long, piece binary, c binary, lang binary")
-    words = c.written(_reduced(pieces, bits, _total_words(tokens), WORDS), "words")
+    words = c.written(_reduced(pieces, bits, _total_words(tokens), ANSWERS), "words")
     by_class = {r[0]: (r[1], r[2]) for r in words.where("kind = 1").groupBy("at").agg(F.sum("tokens"), F.sum("types")).collect()}
     return words, Counts(tokens, sum(t for _, t in by_class.values()) + (ends > 0), ends, by_class)
 
 
 def _ids(row: dict) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32)
+    return unpack(row["ids"], np.int32)
 
 
 def _docs(row: dict) -> np.ndarray:
@@ -257,24 +256,16 @@ def _grams(row: dict, width: int):
 
 
 def _push_grams(width: int, bits: int):
-    def run(blocks_: pa.Table, words: pa.Table) -> pa.Table:
-        out, words = [], words.sort_by("slice")
-        for row in blocks_.to_pylist():
-            order = np.argsort(np.frombuffer(row["keys"], _U))
-            n, kind = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint8)
-            if len(order):
-                n[order] = np.concatenate([unpack(x.as_py(), np.int64) for x in words.column("n")])
-                kind[order] = np.concatenate([unpack(x.as_py(), np.uint8) for x in words.column("class")])
-            same = {k: pa.array([row[k]], _KINDS[t]) for k, t in _fields(STATE) if k in ("block", "doc_id", "held", "n", "ids", "keys")}
-            out.append(_batch(STATE, 1, kind=pa.array([0]), words=pa.array([pack(n)], pa.binary()), classes=pa.array([pack(kind)], pa.binary()), **same))
-            train = ~np.asarray(row["held"], bool)[_docs(row)]
-            for order_, (gram, inverse) in enumerate(_grams(row, width)):
-                times = np.bincount(inverse[train], minlength=len(gram)).astype(np.int32)
-                of, cut = _sliced(gram, width, bits)
-                for s, a, b in zip(of.tolist(), cut.tolist(), cut[1:].tolist()):
-                    out.append(_batch(STATE, 1, kind=pa.array([1]), block=pa.array([row["block"]]), slice=pa.array([(order_ << bits) + s]), piece=pa.array([pack_sorted(gram[a:b])], pa.binary()), c=pa.array([pack(times[a:b])], pa.binary())))
-        c.trim()
-        return pa.Table.from_batches(out) if out else _empty(STATE)
+    def run(it):
+        for batch in it:
+            for row in batch.to_pylist():
+                train = ~np.asarray(row["held"], bool)[_docs(row)]
+                for k, (gram, inverse) in enumerate(_grams(row, width)):
+                    times = np.bincount(inverse[train], minlength=len(gram)).astype(np.int32)
+                    of, cut = _sliced(gram, width, bits)
+                    for s, a, b in zip(of.tolist(), cut.tolist(), cut[1:].tolist()):
+                        yield pa.RecordBatch.from_arrays([pa.array([(k << bits) + s], pa.int32()), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in (pack_sorted(gram[a:b]), pack(times[a:b])))], names=["slice", "block", "piece", "c"])
+                c.trim()
 
     return run
 
@@ -288,7 +279,7 @@ def _total_grams(it):
         cut = c.prefix(np.array([len(x) for x in pieces], np.int64)).tolist()
         del pieces, times
         for block, a, b in zip(table.column("block").to_pylist(), cut, cut[1:]):
-            yield _batch(GRAMS, 1, block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()))
+            yield _batch(ANSWERS, 1, kind=pa.array([2]), block=pa.array([block]), slice=pa.array([table.column("slice")[0].as_py()]), n=pa.array([pack(n[inverse[a:b]])], pa.binary()))
         c.trim()
 
 
@@ -312,23 +303,29 @@ BUCKETS = 64
 
 
 def _ready(width: int, ends: int):
-    def run(state: pa.Table, grams: pa.Table) -> pa.Table:
-        out, grams = [], grams.sort_by("slice")
-        got = np.concatenate([unpack(x.as_py(), np.int64) for x in grams.column("n")]) if len(grams) else np.zeros(0, np.int64)
-        for row in state.to_pylist():
+    def run(blocks_: pa.Table, answers: pa.Table) -> pa.Table:
+        out, answers = [], answers.sort_by([("kind", "ascending"), ("slice", "ascending")])
+        kinds = np.asarray(answers.column("kind").combine_chunks())
+        about = lambda kind, name, of: np.concatenate([np.zeros(0, of), *(unpack(x.as_py(), of) for x in answers.column(name).filter(pa.array(kinds == kind)))])
+        got = about(2, "n", np.int64)
+        for row in blocks_.to_pylist():
+            keys = np.frombuffer(row["keys"], _U)
+            order = np.argsort(keys)
+            words, classes = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint8)
+            words[order], classes[order] = about(0, "n", np.int64), about(0, "class", np.uint8)
             per_token, done = [], 0
             for gram, inverse in _grams(row, width):
                 per_token.append(got[done : done + len(gram)][inverse])
                 done += len(gram)
             per_token, doc, ids = np.stack(per_token), _docs(row), _ids(row)
-            n = np.append(ends, unpack(row["words"], np.int64))
+            n = np.append(ends, words)
             train = ~np.asarray(row["held"], bool)[doc]
             seen = _bucket(contexts_seen(per_token, n[ids], doc, ends)[:, train])
             total = np.stack([np.bincount(x, minlength=BUCKETS) for x in seen])
             novel = np.stack([np.bincount(x[y == 1], minlength=BUCKETS) for x, y in zip(seen, per_token[:, train])])
-            buckets = (np.frombuffer(row["keys"], _U) >> _U(48)).astype(np.uint16)
-            same = {k: pa.array([row[k]], _KINDS[t]) for k, t in _fields(READY) if k in ("doc_id", "held", "n", "ids", "words", "classes")}
-            out.append(_batch(READY, 1, kind=pa.array([0]), buckets=pa.array([buckets.tobytes()], pa.binary()), grams=pa.array([pack(per_token.reshape(-1))], pa.binary()), **same))
+            buckets = (keys >> _U(48)).astype(np.uint16)
+            same = {k: pa.array([row[k]], _KINDS[t]) for k, t in _fields(READY) if k in ("doc_id", "held", "n", "ids")}
+            out.append(_batch(READY, 1, kind=pa.array([0]), words=pa.array([pack(words)], pa.binary()), classes=pa.array([pack(classes)], pa.binary()), buckets=pa.array([buckets.tobytes()], pa.binary()), grams=pa.array([pack(per_token.reshape(-1))], pa.binary()), **same))
             out.append(_batch(READY, ORDERS * BUCKETS, kind=pa.array(np.ones(ORDERS * BUCKETS, np.int32)), at=pa.array(np.arange(ORDERS * BUCKETS)), novel=pa.array(novel.reshape(-1)), total=pa.array(total.reshape(-1))))
         c.trim()
         return pa.Table.from_batches(out) if out else _empty(READY)
@@ -500,20 +497,22 @@ class Fitted:
     """What was learnt, and the table of blocks to score."""
 
     def __init__(self, docs: DataFrame):
-        width = min(64, 28 + max(8, docs.count().bit_length()))  # so that n-grams collide as seldom at every size
-        table = blocks(docs)
+        width = min(64, 20 + max(8, docs.count().bit_length()))  # so that n-grams collide as seldom at every size
+        table, spark = blocks(docs), docs.sparkSession
         words, self.counts = count_words(table)
         sizes = table.agg(F.sum(F.expr("aggregate(n, 0L, (x, y) -> x + y)"))).first()[0] or 0
         bits = _bits(2 * sizes)
-        state = c.written(table.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(_push_grams(width, bits), STATE), "state", ["kind"])
-        c.dropped(table)
-        c.dropped(words)
-        pieces = state.where("kind = 1").select("slice", "block", "piece", "c")
-        grams = c.written(_reduced(pieces, bits + 1, _total_grams, GRAMS), "grams")
-        own = state.where("kind = 0").select("block", "doc_id", "held", "n", "ids", "keys", "words", "classes")
-        ready = c.written(own.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ready(width, self.counts.ends), READY), "ready", ["kind"])
-        c.dropped(state)
-        c.dropped(grams)
+        c.released(spark)
+        pieces = table.select("block", "held", "n", "ids", "keys").mapInArrow(_push_grams(width, bits), "slice int, block long, piece binary, c binary")
+        grams = c.written(_reduced(pieces, bits + 1, _total_grams, ANSWERS), "grams")
+        del pieces
+        c.released(spark)
+        own, answers = table.select("block", "doc_id", "held", "n", "ids", "keys"), words.where("kind = 0").unionByName(grams)
+        ready = c.written(own.groupBy("block").cogroup(answers.select("block", "kind", "slice", "n", "class").groupBy("block")).applyInArrow(_ready(width, self.counts.ends), READY), "ready", ["kind"])
+        for done in (table, words, grams):
+            c.dropped(done)
+        del own, answers
+        c.released(spark)
         self.rest = trusted(ready)
         self.ready = ready.where("kind = 0").select("doc_id", "held", "n", "ids", "words", "classes", "buckets", "grams")
         self.weights, self.bias = train(self.ready, placed(self.counts))
