@@ -11,6 +11,7 @@ import ctypes
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -69,8 +70,10 @@ def dropped(df: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles of plans that nothing refers to any more; it learns of them when garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first frees what Python still holds in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def row_key() -> Column:

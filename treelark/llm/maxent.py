@@ -18,7 +18,7 @@ with the one and the two words before move it: their counts grow with the corpus
 5. All texts are scored in numpy batches.
 
 Slices hold about SLICE entries. There are blocks x slices pieces, which is the square of the input, with few entries in
-each: at 30 GB some 25 million; for far larger tables BLOCK_BYTES and SLICE are to grow.
+each: at 30 GB some 40 million; for far larger tables BLOCK_BYTES and SLICE are to grow.
 
 Nulls count as empty texts (one end token); a null doc_id is a training row; repeated rows are counted and scored each; a
 long text is a block of its own; an empty table gives an empty table. Columns but doc_id, text and lang are ignored, and
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 LANGS, BANDS = 8, (3e-3, 3e-4, 1e-5)
 RARE, END = LANGS * (len(BANDS) + 1), LANGS * (len(BANDS) + 1) + 1
 CLASSES = END + 1
