@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents, the
 last one token ids. Rows are matched to decisions by doc_id and a hash of the text, so rows without a doc_id, rows that
-share one, and further columns of any name pass through.
+share one, and further columns of any name pass through. A null text is an empty one: the base rule rejects it. An empty
+table stays empty at every stage.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     one = stay.groupBy("doc_id", "text_sha256").agg(F.min("rk").alias("rk"), F.count("*").alias("n"))
     out = _only(docs, one)
     if one.where("n > 1").limit(1).count():
-        key = common.row_key()
-        out = out.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        packed = out.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), common.row_key().alias("key"))
+        out = packed.groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
     return out
 
 

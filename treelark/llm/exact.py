@@ -169,7 +169,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     rows = c.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.row_key().alias("rk"), digest(F.col("text")).alias("digest")), "digests")
     new = rows
     if history is None:
-        middle = rows.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0]
+        ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()  # whose sum may be more than a long holds
+        middle = None if ends[0] is None else (ends[0] + ends[1]) // 2
         old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
         history = rows.where(old).groupBy("digest").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n"))
         new = rows.where(~old)
