@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import constants as k
 
@@ -16,10 +14,22 @@ from .. import constants as k
 IDENT_BREAK = r"_|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode composition, for texts that may hold decomposed accents; Spark has no built-in for it."""
-    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+def _composing() -> str:
+    """A pattern of ASCII letters with marks that have a composed form with them."""
+    marks: dict[str, str] = {}
+    for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        found = "".join(m for m in map(chr, range(0x300, 0x370)) if len(unicodedata.normalize("NFC", letter + m)) == 1)
+        marks[found] = marks.get(found, "") + letter
+    return "|".join(f"[{letters}][\u0300-\u036f]*?[{found}]" for found, letters in marks.items() if found)
+
+
+COMPOSING = _composing()
+
+
+def composed(text: Column) -> Column:
+    """Text as tokens see it after Unicode composition: a letter that a mark composes with is no ASCII letter any more, so
+    both become a separator. Native; only texts that hold combining marks are rewritten."""
+    return F.when(text.rlike("[\u0300-\u036f]"), F.regexp_replace(text, COMPOSING, "\u00e9")).otherwise(text)
 
 
 def split_identifier(name: Column) -> Column:
@@ -35,7 +45,7 @@ def tokens(text: Column, keep_stopwords: bool = False) -> Column:
         more = (F.size(parts) > 1) | ((F.size(parts) == 1) & (parts[0] != F.lower(fragment)))
         return F.concat(F.array(F.lower(fragment)), F.when(more, parts).otherwise(F.array().cast("array<string>")))
 
-    fragments = F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_]+"), lambda x: F.length(x) >= 2)
+    fragments = F.filter(F.split(composed(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_]+"), lambda x: F.length(x) >= 2)
     found = F.flatten(F.transform(fragments, of))
     return found if keep_stopwords else F.filter(found, lambda x: ~x.isin(k.STOPWORDS))
 
@@ -44,11 +54,52 @@ def tokens(text: Column, keep_stopwords: bool = False) -> Column:
 STRUCTURED = r"_|[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 
 
+def token_bag(text: Column, keep_stopwords: bool = False) -> Column:
+    """tokens() in no order: only structured fragments, which are few, are taken apart."""
+    fragments = F.filter(F.split(composed(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_]+"), lambda x: F.length(x) >= 2)
+
+    def parts(w: Column) -> Column:
+        found = split_identifier(w)
+        return F.when((F.size(found) > 1) | ((F.size(found) == 1) & (found[0] != F.lower(w))), found).otherwise(F.array().cast("array<string>"))
+
+    more = F.flatten(F.transform(F.filter(fragments, lambda x: x.rlike(STRUCTURED)), parts))
+    found = F.concat(F.transform(fragments, F.lower), more)
+    return found if keep_stopwords else F.filter(found, lambda x: ~x.isin(k.STOPWORDS))
+
+
+def _alone(words: list[str]) -> str:
+    """A pattern of whole fragments, whatever their case."""
+    return "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")(?![A-Za-z0-9_])"
+
+
+def token_parts(text: Column, keep_stopwords: bool = False) -> Column:
+    """The tokens that structured fragments have beside themselves."""
+    fragments = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]*?(?:_|[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z])[A-Za-z0-9_]*"), F.lit(0))
+
+    def parts(w: Column) -> Column:
+        found = split_identifier(w)
+        return F.when((F.size(found) > 1) | ((F.size(found) == 1) & (found[0] != F.lower(w))), found).otherwise(F.array().cast("array<string>"))
+
+    more = F.flatten(F.transform(F.filter(fragments, lambda x: F.length(x) >= 2), parts))
+    return more if keep_stopwords else F.filter(more, lambda x: ~x.isin(k.STOPWORDS))
+
+
+def token_count(text: Column, parts: Column, keep_stopwords: bool = False) -> Column:
+    """How many tokens() a composed text has, given its token_parts(): counted by patterns, without making them."""
+    all_ = F.regexp_count(text, F.lit("[A-Za-z0-9_]{2,}")) + F.size(parts)
+    return all_ if keep_stopwords else all_ - F.regexp_count(text, F.lit(_alone(sorted(w for w in k.STOPWORDS if len(w) > 1))))
+
+
+def token_hits(text: Column, parts: Column, terms: list[str]) -> Column:
+    """Those of tokens() that are among terms, none of them a stopword, and further parts; found by one pattern."""
+    return F.concat(F.transform(F.regexp_extract_all(text, F.lit(_alone(terms)), F.lit(0)), F.lower), parts)
+
+
 def token_rows(rows: DataFrame, keep: list[str], text: str, out: str = "term") -> DataFrame:
     """keep and one row per token of the column text, in no order: fragments are exploded first, so that plain words, nearly
     all of them, stay in generated code and only structured ones are split further. Stopwords are left in."""
     w = F.col("_w")
-    fragments = rows.select(*keep, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z0-9_]+")).alias("_w")).where(F.length(w) >= 2)
+    fragments = rows.select(*keep, F.explode(F.split(composed(F.coalesce(F.col(text), F.lit(""))), "[^A-Za-z0-9_]+")).alias("_w")).where(F.length(w) >= 2)
     parts = split_identifier(w)
     more = (F.size(parts) > 1) | ((F.size(parts) == 1) & (parts[0] != F.lower(w)))
     each = F.when(w.rlike(STRUCTURED), F.concat(F.array(F.lower(w)), F.when(more, parts).otherwise(F.array().cast("array<string>")))).otherwise(F.array(F.lower(w)))

@@ -23,6 +23,8 @@ def _cut(df: DataFrame, state: dict) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not state.get("set"):
         if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="treelark-checkpoints-"))
         state["set"] = True
     return df.checkpoint()
@@ -164,7 +166,8 @@ def impact(symbols: DataFrame, references: DataFrame, imports: DataFrame, seeds:
 
     Hop 0 follows references to the seed symbol, or to all exported ones, and every importer of the seed's file; later
     hops follow references to exported symbols, and importers of files that export nothing. Of several ways to a file in one
-    hop the smallest (kind, from) is named. The frontier and what was seen are tables; each hop is two joins.
+    hop the smallest (kind, from) is named; where results ends a hop, its first files by name stay. A depth of 0 takes no
+    hop. The frontier and what was seen are tables; each hop is two joins.
     """
     state: dict = {}
     exported = symbols.where("exported").select(F.col("id").alias("symbol_id"), F.col("file").alias("target"))
@@ -198,6 +201,8 @@ def impact(symbols: DataFrame, references: DataFrame, imports: DataFrame, seeds:
         if not n or "max_results" in stopped:
             break
         seen, frontier = seen.unionByName(step.select("file")), step
+    if out is None:
+        out = seen.select("file", F.lit(0).alias("hops"), F.lit("").alias("via_kind"), F.lit("").alias("via_from")).where("false")
     return out, {"stopped": stopped or ["natural"]}
 
 

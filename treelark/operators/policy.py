@@ -108,6 +108,8 @@ def check_rule(rule: dict) -> list[str]:
 def evaluate(index: dict[str, DataFrame], rules: list[tuple[str, dict]]) -> DataFrame:
     """Violations of (scope, rule) pairs, by scope and in the order given; a plan of one branch per rule."""
     parts = [EVALUATORS[r["kind"]](index, r, s).withColumn("rule_order", F.lit(i)) for i, (s, r) in enumerate(sorted(rules, key=lambda x: x[0]))]
+    if not parts:
+        return next(iter(index.values())).sparkSession.createDataFrame([], "rule string, kind string, scope string, file string, line int, symbol string, to string, message string, rule_order int")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -126,7 +128,7 @@ def summary(index: dict[str, DataFrame], rules: list[tuple[str, dict]], cap: int
 
 def overlapping(violations: DataFrame, scopes: DataFrame) -> DataFrame:
     """Violations that lie in a chosen scope, or whose scope holds or is held by one: ancestors are joined, not prefixes."""
-    up = violations.withColumn("_id", F.monotonically_increasing_id())
+    up = violations.withColumn("_id", F.xxhash64(*violations.columns))  # equal rows have equal answers
     above = up.select("_id", F.explode(F.array_union(t.ancestors(F.col("scope")), F.when(F.col("file").isNotNull(), t.ancestors(F.col("file"))).otherwise(F.array().cast("array<string>")))).alias("at"))
     down = scopes.select(F.explode(t.ancestors(F.col("scope"))).alias("at")).distinct()
     hit = above.join(scopes.select(F.col("scope").alias("at")), "at").select("_id").unionByName(up.join(down, F.col("scope") == F.col("at")).select("_id")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as k
 from ..functions import text as t
+from .graph import kept
 
 
 def zone_tokens(docs: DataFrame, zones: list[str]) -> DataFrame:
@@ -33,9 +34,11 @@ def zone_averages(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("zone").agg(F.avg("length").alias("average"))
 
 
-def document_frequency(terms: DataFrame) -> DataFrame:
-    """(term, df): documents with the term in any zone."""
-    return terms.groupBy("term").agg(F.countDistinct("scope").alias("df"))
+def document_frequency(docs: DataFrame, zones: list[str]) -> DataFrame:
+    """(term, df): documents with the term in any zone. A document's distinct terms are found in its row, so that counts
+    are combined before the only shuffle."""
+    bag = F.concat(*(t.token_bag(F.col(z), z == "symbols") for z in zones))
+    return docs.select(F.explode(F.array_distinct(bag)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -45,9 +48,8 @@ def idf(df: Column, n: Column) -> Column:
 def bm25(docs: DataFrame, zones: list[str], query: str) -> DataFrame:
     """(scope, score) of documents with a positive score; repeated query tokens count repeatedly.
 
-    One pass over the texts: tokens are counted where they are made, per document and zone, in all and for each of the
-    query's terms, a handful of columns. Only these counts are shuffled, and the same shuffle serves the averages and the
-    scores.
+    Tokens are counted inside a document's row, in all and for each of the query's terms, and never become rows. What is
+    left, some whole numbers per document, is written once and serves the averages and the scores; nothing is shuffled.
     """
     wanted: dict[str, int] = {}
     for w in t.plain_tokens(query):
@@ -55,11 +57,18 @@ def bm25(docs: DataFrame, zones: list[str], query: str) -> DataFrame:
     terms = list(wanted)
     if not terms:
         return docs.select("scope", F.lit(0.0).alias("score")).where("false")
-    counts = zone_tokens(docs, zones).groupBy("scope", "zone").agg(F.count("*").alias("dl"), *(F.count_if(F.col("term") == w).alias(f"tf{i}") for i, w in enumerate(terms)))
-    per = counts.groupBy("scope").agg(*(F.sum(F.when(F.col("zone") == z, F.col("dl"))).alias(f"dl_{j}") for j, z in enumerate(zones)), *(F.sum(F.when(F.col("zone") == z, F.col(f"tf{i}"))).alias(f"tf{i}_{j}") for i in range(len(terms)) for j, z in enumerate(zones)))
+    ranged, symbols = range(len(zones)), [z == "symbols" for z in zones]
+    texts = docs.select("scope", *(t.composed(F.coalesce(F.col(z), F.lit(""))).alias(f"t_{j}") for j, z in enumerate(zones)))
+    texts = texts.select("*", *(t.token_parts(F.col(f"t_{j}"), symbols[j]).alias(f"p_{j}") for j in ranged))
+    texts = texts.select("*", *(t.token_hits(F.col(f"t_{j}"), F.col(f"p_{j}"), terms).alias(f"h_{j}") for j in ranged))
+    per = kept(
+        texts.select(
+            "scope", *(t.token_count(F.col(f"t_{j}"), F.col(f"p_{j}"), symbols[j]).cast("long").alias(f"dl_{j}") for j in ranged),
+            *((F.size(f"h_{j}") - F.size(F.array_remove(f"h_{j}", w))).cast("long").alias(f"tf{i}_{j}") for i, w in enumerate(terms) for j in ranged),
+        )
+    )
     hit = lambda i: F.greatest(*(F.coalesce(F.col(f"tf{i}_{j}"), F.lit(0)) for j in range(len(zones))), F.lit(0)) > 0
-    n = docs.agg(F.count("*").alias("n"))
-    stats = per.agg(*(F.coalesce(F.sum(f"dl_{j}"), F.lit(0)).alias(f"sum_{j}") for j in range(len(zones))), *(F.count_if(hit(i)).alias(f"df{i}") for i in range(len(terms)))).crossJoin(F.broadcast(n))  # one row each
+    stats = per.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"dl_{j}"), F.lit(0)).alias(f"sum_{j}") for j in range(len(zones))), *(F.count_if(hit(i)).alias(f"df{i}") for i in range(len(terms))))  # one row
     rows = per.where(F.greatest(*(hit(i) for i in range(len(terms))), F.lit(False))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i, w in enumerate(terms):
@@ -153,10 +162,16 @@ def excerpts(docs: DataFrame, zones: list[str], query: str) -> DataFrame:
 
 
 def search_context(docs: DataFrame, zones: list[str], query: str, fields: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """Best documents with an excerpt in one of fields: scope, score (4 decimals), up to three excerpts."""
-    shown = excerpts(docs, [z for z in zones if fields is None or z in fields], query)
-    by = shown.groupBy("scope").agg(F.slice(F.array_sort(F.collect_list(F.struct("zone", "excerpt"))), 1, 3).alias("excerpts"))
-    return bm25(docs, zones, query).withColumn("score", F.round("score", 4)).join(by, "scope").orderBy(F.desc("score"), "scope").limit(min(limit, k.RESULT_CAP))
+    """Best documents with an excerpt in one of fields: scope, score (4 decimals), up to three excerpts. Which documents have
+    one is told before the best are chosen; excerpts are made of these only, at most RESULT_CAP."""
+    shown = [z for z in zones if fields is None or z in fields]
+    words = t.plain_tokens(query)
+    has = F.exists(F.array(*(F.lower(F.coalesce(F.col(z), F.lit(""))) for z in shown)).cast("array<string>"), lambda x: F.greatest(*(F.instr(x, w) for w in words), F.lit(0), F.lit(0)) > 0)
+    best = bm25(docs, zones, query).join(docs.where(has).select("scope"), "scope", "left_semi").withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "scope").limit(min(limit, k.RESULT_CAP))
+    best = kept(best)
+    texts = docs.join(F.broadcast(best.select("scope")), "scope", "left_semi")  # RESULT_CAP rows
+    by = excerpts(texts, shown, query).groupBy("scope").agg(F.slice(F.array_sort(F.collect_list(F.struct("zone", "excerpt"))), 1, 3).alias("excerpts"))
+    return best.join(by, "scope").orderBy(F.desc("score"), "scope")
 
 
 def byte_ceiling(rows: DataFrame, order: list[Column], key: list[str], ceiling: int = k.RESPONSE_CHARS, envelope: int = 64) -> DataFrame:

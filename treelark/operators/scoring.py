@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from .graph import kept
 
 ABSTAIN = r"(?i)\b(?:unable to answer|not sure|no information|insufficient information|i don'?t know|don'?t have enough|cannot (?:answer|determine))\b"
 PATH = r"(?:[\w.-]+/)+[\w.-]+|[\w-]+\.(?:" + "|".join(sorted("yml yaml tsx ts toml rs rb py md jsx json js java go cfg".split(), key=lambda x: (-len(x), x))) + ")"
@@ -131,18 +132,22 @@ def sample_positions(size: int, n: int, seed: int) -> list[int]:
     return [moved.get(i, i) for i in range(size - n, size)]
 
 
-def seeded_sample(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
-    """n rows by the seeded shuffle of all rows in order. Only the count and n positions are made on the driver."""
+def _numbered(rows: DataFrame, order: str, key: list[str]) -> DataFrame:
+    """rows with _at, their position by order within key. The range partitions are written once, so that no later plan cuts
+    them otherwise, and no single task orders all rows."""
     from pyspark.sql import Window
 
-    size = rows.count()
-    picked = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(sample_positions(size, n, seed))], T.StructType([T.StructField("_at", T.LongType()), T.StructField("position", T.IntegerType())]))
-    # positions by range partitions and their sizes, so that no single task orders all rows
-    spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("c"))
-    base = sizes.withColumn("_base", F.sum("c").over(Window.orderBy("_part")) - F.col("c")).select("_part", "_base")
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_base")
-    return spread.join(base, "_part").withColumn("_at", at).join(F.broadcast(picked), "_at").drop("_at", "_part", "_base")  # n rows
+    spread = kept(rows.repartitionByRange(*key, order).sortWithinPartitions(*key, order).withColumn("_part", F.spark_partition_id()))
+    sizes = spread.groupBy("_part", *key).agg(F.count("*").alias("c"))
+    base = sizes.withColumn("_base", F.sum("c").over(Window.partitionBy(*key).orderBy("_part")) - F.col("c")).select("_part", *key, "_base")
+    at = F.row_number().over(Window.partitionBy("_part", *key).orderBy(order)) - 1 + F.col("_base")
+    return spread.join(base, ["_part", *key]).withColumn("_at", at).drop("_part", "_base")
+
+
+def seeded_sample(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
+    """n rows by the seeded shuffle of all rows in order. Only the count and n positions are made on the driver."""
+    picked = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(sample_positions(rows.count(), n, seed))], T.StructType([T.StructField("_at", T.LongType()), T.StructField("position", T.IntegerType())]))
+    return _numbered(rows, order, []).join(F.broadcast(picked), "_at").drop("_at")  # n rows
 
 
 def stratified_limits(sizes: dict[str, int], limit: int) -> dict[str, int]:
@@ -152,15 +157,16 @@ def stratified_limits(sizes: dict[str, int], limit: int) -> dict[str, int]:
 
 
 def stratified_sample(rows: DataFrame, category: str, order: str, limit: int, seed: int) -> DataFrame:
-    """A seeded sample per category, topped up from the rest by the next seed. Categories are few: one job each."""
+    """A seeded sample per category, all in one plan, topped up from the rest by the next seed."""
     sizes = {r[0]: r[1] for r in rows.groupBy(category).count().collect()}
-    parts = [seeded_sample(rows.where(F.col(category) == c), order, n, seed) for c, n in sorted(stratified_limits(sizes, limit).items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    short = limit - sum(stratified_limits(sizes, limit).values())
+    limits = stratified_limits(sizes, limit)
+    schema = T.StructType([T.StructField(category, rows.schema[category].dataType), T.StructField("_at", T.LongType()), T.StructField("position", T.IntegerType())])
+    picked = rows.sparkSession.createDataFrame([(c, p, i) for c, n in limits.items() for i, p in enumerate(sample_positions(sizes[c], n, seed))], schema)
+    out = _numbered(rows, order, [category]).join(F.broadcast(picked), [category, "_at"]).drop("_at").select(*rows.columns, "position")  # limit rows, and one for each category at most
+    short = min(limit, sum(sizes.values())) - sum(limits.values())
     if short > 0:
-        out = out.unionByName(seeded_sample(rows.join(out.select(order), order, "left_anti"), order, short, seed + 1))
+        out = kept(out)
+        out = out.unionByName(seeded_sample(rows.join(out.select(order), order, "left_anti"), order, short, seed + 1).select(*rows.columns, "position"))
     return out
 
 

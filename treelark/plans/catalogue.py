@@ -298,7 +298,7 @@ def zone_stats(x: Tables) -> DataFrame:
 def idf_table(x: Tables) -> DataFrame:
     z = x.zones()
     n = z.agg(F.count("*").alias("n"))
-    df = retrieval.document_frequency(retrieval.zone_terms(z, ZONES))
+    df = retrieval.document_frequency(z, ZONES)
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
