@@ -33,7 +33,7 @@ def junit(out: Column, first: bool = False) -> Column:
     """JUnit XML attributes, summed over suites or (first) of the first one."""
 
     def number(name: str) -> Column:
-        all_ = F.transform(F.regexp_extract_all(out, F.lit(rf'<testsuite\b[^>]*?\s{name}="(\d+)"'), F.lit(1)), lambda x: x.cast("int"))
+        all_ = F.transform(F.regexp_extract_all(out, F.lit(rf"""<testsuite\b[^>]*?\s{name}=["'](\d+)["']"""), F.lit(1)), lambda x: x.cast("int"))
         return F.coalesce(F.get(all_, F.lit(0)), F.lit(0)) if first else F.aggregate(all_, F.lit(0), lambda a, x: a + x)
 
     bad = number("failures") + number("errors")

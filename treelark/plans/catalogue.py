@@ -179,70 +179,40 @@ def siblings(x: Tables) -> DataFrame:
     return graph.siblings(x.imports(), _some_file(x, "from_file"))
 
 
-_EDGES = "e AS (SELECT from_dir, to_dir, count(*) AS weight FROM imports WHERE to_dir IS NOT NULL AND from_dir <> to_dir GROUP BY ALL), m AS (SELECT quantile_disc(weight, 0.9) AS w FROM e)"
-
-
-@query("WITH RECURSIVE " + with_("imports", f", {_EDGES}, b AS (SELECT from_dir AS a, to_dir AS b FROM e, m WHERE weight >= w UNION SELECT to_dir, from_dir FROM e, m WHERE weight >= w), r AS (SELECT min(a) AS dir, 0 AS hops FROM b UNION SELECT b.b, hops + 1 FROM r JOIN b ON b.a = r.dir WHERE hops < 4) SELECT dir, min(hops) AS hops, 1 / (1 + min(hops)) AS prox FROM r WHERE dir IS NOT NULL GROUP BY dir")[5:])
+@query("WITH RECURSIVE " + with_("imports", ", e AS (SELECT DISTINCT from_dir, to_dir FROM imports WHERE to_dir IS NOT NULL AND from_dir <> to_dir), b AS (SELECT from_dir AS a, to_dir AS b FROM e UNION SELECT to_dir, from_dir FROM e), r AS (SELECT min(a) AS dir, 0 AS hops FROM b UNION SELECT b.b, hops + 1 FROM r JOIN b ON b.a = r.dir WHERE hops < 4) SELECT dir, min(hops) AS hops, 1 / (1 + min(hops)) AS prox FROM r WHERE dir IS NOT NULL GROUP BY dir")[5:])
 def dir_proximity(x: Tables) -> DataFrame:
-    e = graph.kept(graph.dir_edges(x.imports()))
-    least = e.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY weight)").alias("w"))
-    strong = e.crossJoin(F.broadcast(least)).where("weight >= w")
-    seed = strong.agg(F.least(F.min("from_dir"), F.min("to_dir")).alias("dir")).where("dir IS NOT NULL")
-    return graph.proximity(strong, seed)
-
-
-@query()
-def dir_proximity_whole(x: Tables) -> DataFrame:
-    """Over all directory edges."""
     e = graph.kept(graph.dir_edges(x.imports()))
     seed = e.agg(F.least(F.min("from_dir"), F.min("to_dir")).alias("dir")).where("dir IS NOT NULL")
     return graph.proximity(e, seed)
 
 
-def _small_index(x: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, references and import edges among few files, so that impact takes hops: orders use parts of their brand."""
-    s = x.symbols().withColumn("file", F.concat(F.lit("p"), (F.col("id") % 97).cast("string")))
-    r = x.references().where("line = 1").select((F.col("symbol_id") % 500).alias("symbol_id"), F.concat(F.lit("p"), (F.col("file").cast("long") % 89).cast("string")).alias("file"))
-    i = x.references().where("line = 2").select(F.concat(F.lit("p"), (F.col("file").cast("long") % 97).cast("string")).alias("from_file"), F.concat(F.lit("p"), (F.col("symbol_id") % 101).cast("string")).alias("resolved_to"))
-    return s.select("id", "file", (F.col("exported") & (F.col("id") % 5 == 0)).alias("exported")), r, i
-
-
-_INDEX = ", s AS (SELECT id, 'p' || id % 97 AS file, exported AND id % 5 = 0 AS exported FROM symbols), u AS (SELECT symbol_id % 500 AS symbol_id, 'p' || CAST(file AS BIGINT) % 89 AS usr FROM refs WHERE line = 1), i AS (SELECT 'p' || CAST(file AS BIGINT) % 97 AS usr, 'p' || symbol_id % 101 AS target FROM refs WHERE line = 2), br AS (SELECT DISTINCT s.file AS target, usr FROM u JOIN s ON s.id = u.symbol_id AND s.exported), later AS (SELECT * FROM br UNION SELECT target, usr FROM i WHERE target NOT IN (SELECT file FROM s WHERE exported)), first AS (SELECT usr FROM u WHERE symbol_id = 5 UNION SELECT usr FROM i WHERE target = 'p5'), h AS (SELECT usr AS file, 0 AS hops FROM first UNION SELECT l.usr, hops + 1 FROM h JOIN later l ON l.target = h.file WHERE hops < 2), z AS (SELECT file, min(hops) AS hops FROM h WHERE file <> 'p5' GROUP BY file)"
+#: Every line item is a reference to its part, from the file of the part that its supplier's number names.
+_IMPACT = with_(
+    "symbols refs imports",
+    ", u AS (SELECT DISTINCT s.file AS target, v.file AS usr FROM lineitem JOIN symbols s ON s.id = l_partkey AND s.exported JOIN symbols v ON v.id = l_suppkey), seed AS (SELECT file FROM symbols WHERE id = 5 UNION SELECT min(resolved_to) FROM imports), "
+    "i AS (SELECT DISTINCT resolved_to AS target, from_file AS usr FROM imports WHERE resolved_to IS NOT NULL), l AS (SELECT * FROM u UNION SELECT * FROM i WHERE target NOT IN (SELECT file FROM symbols WHERE exported)), "
+    f"r AS (SELECT usr AS file, 0 AS hops FROM (SELECT * FROM u UNION SELECT * FROM i) JOIN seed ON target = seed.file WHERE usr NOT IN (SELECT file FROM seed) UNION SELECT usr, hops + 1 FROM r JOIN l ON l.target = r.file WHERE hops + 1 < {k.IMPACT_DEPTH}), "
+    "z AS (SELECT file, min(hops) AS hops FROM r WHERE file NOT IN (SELECT file FROM seed) GROUP BY file)",
+)
 
 
 def _impact(x: Tables) -> DataFrame:
-    s, r, i = _small_index(x)
-    seeds = s.where("id = 5").select("file", F.col("id").alias("symbol_id"))
-    return graph.impact(s, r, i, seeds, results=1_000_000)[0]
-
-
-@query("WITH RECURSIVE " + with_("symbols refs", _INDEX + " SELECT file, hops FROM z")[5:])
-def impact_files(x: Tables) -> DataFrame:
-    return _impact(x).select("file", "hops")
-
-
-@query("WITH RECURSIVE " + with_("symbols refs", _INDEX + " SELECT 'g' || CAST(substr(file, 2) AS INT) % 10 AS scope, min(hops) AS min_hops, count(*) AS files FROM z GROUP BY 1")[5:])
-def impact_scopes(x: Tables) -> DataFrame:
-    hit = _impact(x).withColumn("file", F.concat(F.lit("g"), (F.substring("file", 2, 9).cast("int") % 10).cast("string"), F.lit("/"), "file"))
-    return graph.affected_scopes(hit)
-
-
-def _whole_impact(x: Tables) -> DataFrame:
-    """Over every symbol, reference and import, ids as they are; seeds: the file of symbol 5 as a whole, and an imported file."""
+    """Of the file of symbol 5, as a whole, and of an imported file."""
     s, i = x.symbols(), x.imports()
+    r = x.table("lineitem").select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("id")).distinct().join(s.select("id", "file"), "id").select("symbol_id", "file")
     files = s.where("id = 5").select("file").unionByName(i.agg(F.min("resolved_to").alias("file")).where("file IS NOT NULL"))
     seeds = graph.kept(files.select("file", F.lit(None).cast("long").alias("symbol_id")))
-    return graph.impact(s, x.references(), i, seeds, results=1 << 62)[0]
+    return graph.impact(s, r, i, seeds, results=1 << 62)[0]
 
 
-@query()
-def impact_files_whole(x: Tables) -> DataFrame:
-    return _whole_impact(x).select("file", "hops")
+@query("WITH RECURSIVE " + _IMPACT[5:] + " SELECT file, hops FROM z")
+def impact_files(x: Tables) -> DataFrame:
+    return _impact(x).select("file", "hops")
 
 
-@query()
-def impact_scopes_whole(x: Tables) -> DataFrame:
-    return graph.affected_scopes(_whole_impact(x))
+@query("WITH RECURSIVE " + _IMPACT[5:] + " SELECT CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '.' END AS scope, min(hops) AS min_hops, count(*) AS files FROM z GROUP BY 1")
+def impact_scopes(x: Tables) -> DataFrame:
+    return graph.affected_scopes(_impact(x))
 
 
 @query(with_("imports", ", f AS (SELECT min(resolved_to) AS f FROM imports), o AS (SELECT DISTINCT from_file AS file, 1 AS hop FROM imports, f WHERE resolved_to = f), w AS (SELECT DISTINCT i.from_file AS file, 2 AS hop FROM imports i JOIN o ON i.resolved_to = o.file) SELECT file, min(hop) AS hop FROM (SELECT * FROM o UNION ALL SELECT * FROM w) GROUP BY file"))
@@ -555,11 +525,13 @@ def context_lag(x: Tables) -> DataFrame:
 
 def _scored(x: Tables) -> DataFrame:
     r = x.results()
-    return r.withColumns({"score": F.round(scoring.list_coverage(F.col("response"), F.col("expected")), 6), "abstained": F.length("response") % 7 == 0})
+    return r.withColumns({"score": F.round(scoring.list_coverage(F.col("response"), F.col("expected")), 6), "abstained": scoring.abstained(F.col("response"))})
 
 
 _COV = "CASE WHEN len(expected) = 0 THEN 1.0 ELSE len(list_filter(expected, lambda e: contains(lower(response), lower(e)))) / len(expected) END"
-_SC = f", sc AS (SELECT *, round({_COV}, 6) AS score, length(response) % 7 = 0 AS abstained FROM results)"
+#: As a SQL string.
+_ABSTAIN = scoring.ABSTAIN.replace("'", "''")
+_SC = f", sc AS (SELECT *, round({_COV}, 6) AS score, regexp_matches(response, '{_ABSTAIN}') AS abstained FROM results)"
 _MEAS = "count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, round(avg(abstained::INT), 6) AS abstention, round(avg(latency_ms), 6) AS latency, CAST(sum(input_tokens) AS BIGINT) AS tokens, round(CASE WHEN count(*) FILTER (score >= 0.7) = 0 THEN -1 ELSE sum(input_tokens) / count(*) FILTER (score >= 0.7) END, 6) AS cost_per_correct"
 
 
@@ -688,9 +660,9 @@ def timeline(x: Tables) -> DataFrame:
     return history.timeline(x.commits(), 7).select("ts", "seq", "sha")
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'phantom' ELSE 'unlisted' END AS finding FROM (SELECT DISTINCT doc_id FROM labels) a FULL JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 3000) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'phantom' ELSE 'unlisted' END AS finding FROM (SELECT DISTINCT doc_id FROM labels) a FULL JOIN (SELECT DISTINCT doc_id + 100 AS doc_id FROM documents) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
 def strict_crossref(x: Tables) -> DataFrame:
-    return history.compare_sets(x.table("labels"), x.table("documents").where("n_chars > 3000"), ["doc_id"])
+    return history.compare_sets(x.table("labels"), x.table("documents").select((F.col("doc_id") + 100).alias("doc_id")), ["doc_id"])
 
 
 # extraction
@@ -745,3 +717,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import artifacts as _artifacts  # noqa: E402, F401  registers its queries
