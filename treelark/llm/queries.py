@@ -16,7 +16,7 @@ QUERIES = {
     "op9_token_file": tokenfile.op9_token_file,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op5_near_dedup": near.OP5_SQL}
+SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_substring_dedup": recompress.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op5_near_dedup": near.OP5_SQL, "op10_suffix_dedup": suffixes.OP10_SQL}
 
 
 def queries() -> dict:

@@ -313,3 +313,17 @@ def _keep(it):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, bytes): each text without its repeats. Cuts may fall inside a character, so bytes come back."""
     return repeats.marked(docs, find_repeats(docs)).mapInArrow(_keep, "doc_id long, bytes binary")
+
+
+#: By hexadecimal digits, cut into pieces of 1,000 starts so that taking a window costs little.
+OP10_SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 2000 * j + 1, {2 * (1000 + WINDOW - 1)}) AS c FROM h, LATERAL (SELECT unnest(range(0, length(h) // 2000 + 1)) AS j)),
+g AS (SELECT doc_id, 1000 * j + i AS i, md5(substr(c, 2 * i - 1, {2 * WINDOW})) AS k FROM c, LATERAL (SELECT unnest(range(1, length(c) // 2 - {WINDOW - 2})) AS i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM m)),
+s AS (SELECT doc_id, s, min(i) AS a, max(i) + {WINDOW - 1} AS b FROM r GROUP BY doc_id, s),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS p, a - 1 AS q FROM s UNION ALL SELECT doc_id, max(b) + 1, NULL FROM s GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(CASE WHEN q IS NULL THEN substr(h, 2 * p - 1) ELSE substr(h, 2 * p - 1, 2 * (q - p + 1)) END, '' ORDER BY p) AS kept FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.kept, h.h))) AS kept_sha256
+FROM h LEFT JOIN (SELECT doc_id, sum(b - a + 1) AS removed, count(*) AS spans FROM s GROUP BY doc_id) n USING (doc_id) LEFT JOIN t USING (doc_id)"""
