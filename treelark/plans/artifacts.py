@@ -56,11 +56,11 @@ def test_json_evidence(x: Tables) -> DataFrame:
     return e.select("doc_id", "e.test_status", "e.test_count", F.array_join("e.failing_tests", ",").alias("failing"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'unknown' WHEN doc_id % 3 + doc_id % 2 > 0 THEN 'failing' ELSE 'passing' END AS test_status, CAST(CASE WHEN doc_id % 5 < 4 THEN 7 + doc_id % 50 END AS INT) AS test_count, CASE WHEN doc_id % 5 = 4 THEN 'unknown' WHEN doc_id % 2 > 0 THEN 'failing' ELSE 'passing' END AS first_status FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'unknown' WHEN doc_id % 3 + doc_id % 2 > 0 THEN 'failing' ELSE 'passing' END AS test_status, CAST(CASE WHEN doc_id % 5 < 4 THEN 7 + doc_id % 50 ELSE -1 END AS INT) AS test_count, CASE WHEN doc_id % 5 = 4 THEN 'unknown' WHEN doc_id % 2 > 0 THEN 'failing' ELSE 'passing' END AS first_status FROM documents")
 def junit_evidence(x: Tables) -> DataFrame:
     suites = _cat('<testsuites><testsuite name="x" tests="7" failures="0" errors="', _id() % 2, "\"></testsuite>\n<testsuite failures='", _id() % 3, "' tests='", _id() % 50, "'/></testsuites>")
     d = _artifacts(x, F.when(_id() % 5 == 4, F.lit("no xml")).otherwise(suites))
-    return d.select("doc_id", evidence.junit(F.col("out")).alias("e"), evidence.junit(F.col("out"), True).alias("f")).select("doc_id", "e.test_status", "e.test_count", F.col("f.test_status").alias("first_status"))
+    return d.select("doc_id", evidence.junit(F.col("out")).alias("e"), evidence.junit(F.col("out"), True).alias("f")).select("doc_id", "e.test_status", F.coalesce("e.test_count", F.lit(-1)).alias("test_count"), F.col("f.test_status").alias("first_status"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'failing' ELSE 'passing' END AS test_status, CAST(CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 2 END AS INT) AS test_count, CASE WHEN doc_id % 4 = 1 THEN 'T' || doc_id END AS failing FROM documents")
@@ -179,11 +179,11 @@ def dropped_files(x: Tables) -> DataFrame:
     return scan.dropped_files(d.select("file"), d.where(_id() % 3 != 1).select("file"))
 
 
-@query(with_("files", ", d AS (SELECT dir, CAST(ceil(sum(size) / 4) AS BIGINT) AS tokens, sum(size) % 5000 AS chars, any_value(lang) AS lang FROM files GROUP BY dir) SELECT dir, tokens AS source_tokens, CASE WHEN lang <> 'de' THEN CAST(ceil(chars / 4) AS BIGINT) END AS context_tokens, CASE WHEN lang <> 'de' THEN greatest(tokens - CAST(ceil(chars / 4) AS BIGINT), 0) ELSE 0 END AS saved, lang <> 'de' AS tracked FROM d"))
+@query(with_("files", ", d AS (SELECT dir, CAST(ceil(sum(size) / 4) AS BIGINT) AS tokens, sum(size) % 5000 AS chars, any_value(lang) AS lang FROM files GROUP BY dir) SELECT dir, tokens AS source_tokens, CASE WHEN lang <> 'de' THEN CAST(ceil(chars / 4) AS BIGINT) ELSE -1 END AS context_tokens, CASE WHEN lang <> 'de' THEN greatest(tokens - CAST(ceil(chars / 4) AS BIGINT), 0) ELSE 0 END AS saved, lang <> 'de' AS tracked FROM d"))
 def scope_rows(x: Tables) -> DataFrame:
     f = x.files()
     c = f.where("lang <> 'de'").groupBy(F.col("dir").alias("scope")).agg((F.sum("size") % 5000).alias("context_chars"))
-    return stats.scope_rows(stats.dir_tokens(f), c)
+    return stats.scope_rows(stats.dir_tokens(f), c).withColumn("context_tokens", F.coalesce("context_tokens", F.lit(-1)))
 
 
 _STATES = "CASE doc_id % 5 WHEN 0 THEN 'fresh' WHEN 1 THEN 'cosmetic_stale' WHEN 2 THEN 'semantic_stale' WHEN 3 THEN 'missing' END"
