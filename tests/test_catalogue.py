@@ -50,28 +50,3 @@ def _reached(symbols, references, imports, seeds, depth=3):
         seen |= step
         frontier = step
     return hops
-
-
-def test_impact_of_the_whole_index(spark):
-    x = catalogue.Tables(spark, ROOT)
-    symbols = [tuple(r) for r in x.symbols().select("id", "file", "exported").collect()]
-    references = [tuple(r) for r in x.references().select("symbol_id", "file").collect()]
-    imports = [tuple(r) for r in x.imports().select("from_file", "resolved_to").collect()]
-    seeds = {f for i, f, _ in symbols if i == 5} | {min(to for _, to in imports if to is not None)}
-    want = _reached(symbols, references, imports, seeds)
-    got = catalogue.QUERIES["impact_files_whole"](spark, ROOT).collect()
-    assert {r.file: r.hops for r in got} == want and len(got) == len(want) > 20
-    scopes = {}
-    for f, h in want.items():
-        scopes.setdefault(f.rsplit("/", 1)[0] if "/" in f else ".", []).append(h)
-    assert {(r.scope, r.min_hops, r.files) for r in catalogue.QUERIES["impact_scopes_whole"](spark, ROOT).collect()} == {(k, min(v), len(v)) for k, v in scopes.items()}
-
-
-def test_proximity_over_all_edges(spark):
-    edges = {(r[0], r[1]) for r in catalogue.Tables(spark, ROOT).imports().where("to_dir IS NOT NULL AND from_dir <> to_dir").select("from_dir", "to_dir").collect()}
-    both = edges | {(b, a) for a, b in edges}
-    want = {min(a for a, _ in both): 0}
-    for h in range(1, 5):
-        want |= {b: h for a, b in both if want.get(a) == h - 1 and b not in want}
-    got = catalogue.QUERIES["dir_proximity_whole"](spark, ROOT).collect()
-    assert {r.dir: (r.hops, r.prox) for r in got} == {d: (h, 1 / (1 + h)) for d, h in want.items()}
