@@ -403,6 +403,16 @@ def test_token_files(spark, docs, rows, nothing):
     assert tokenfile.read_ids(tokenfile.write_ids(nothing, common.scratch(spark, "ids"), tokenfile.tokenizer_file())).count() == 0
 
 
+def test_token_files_are_read_by_few_tasks_in_order(spark, docs):
+    folder = common.scratch(spark, "ids")
+    m = tokenfile.write_ids(docs, folder, tokenfile.tokenizer_file())
+    assert len(m.inputFiles()) == 1  # however many tasks wrote ids
+    many = spark.createDataFrame([(f, f"{folder}/{f}", k, 0, 1, 1, 10) for f in range(5) for k in range(8)], tokenfile.MANIFEST)
+    assert tokenfile.read_ids(many).rdd.getNumPartitions() == 4  # spark.sql.shuffle.partitions, not one each
+    got = [r.start for r in tokenfile.read_ids(m).collect()]
+    assert got == sorted(got)
+
+
 def test_token_file_of_texts_with_added_tokens(spark):
     from tokenizers import Tokenizer
 

@@ -46,11 +46,13 @@ def _tokenizer(path: str):
 
 
 @lru_cache(1)
-def _alphabet() -> dict[int, str]:
+def _alphabet() -> np.ndarray:
     """The characters that byte-level vocabularies write bytes with, by byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    letters = np.arange(256, dtype="<u4")
+    letters[hidden] = 256 + np.arange(len(hidden))
+    return letters
 
 
 def library_ids(parts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +64,9 @@ def library_ids(parts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer = _tokenizer(path)
     before = tokenizer.pre_tokenizer
     if type(before).__name__ == "ByteLevel" and not before.add_prefix_space and tokenizer.normalizer is None:
-        of, alphabet = tokenizer.model.tokenize, _alphabet()
-        found = [[t.id for t in of(p.decode("latin-1").translate(alphabet))] for p in parts]
+        of, at = tokenizer.model.tokenize, c.prefix(np.fromiter(map(len, parts), np.int64, len(parts))).tolist()
+        text = _alphabet()[np.frombuffer(b"".join(parts), np.uint8)].tobytes().decode("utf-32-le")
+        found = [[t.id for t in of(text[x:y])] for x, y in zip(at, at[1:])]
     else:
         found = [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in parts], add_special_tokens=False)]
     count = np.fromiter(map(len, found), np.int64, len(found))
@@ -179,9 +182,10 @@ def _writer(folder: str, path: str, end: int):
 
 def write_ids(docs: DataFrame, folder: str, path: str, end: int = 0) -> DataFrame:
     """Writes the ids of docs(doc_id, text) by the tokenizer file path, each with the end id, in doc_id order to folder.
-    Returns the manifest."""
+    Returns the manifest, whose few rows are gathered before they are written: for each small file that a task writes without
+    Hadoop's native library, the JVM starts processes, which count with its whole memory until they run a program."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return c.written(rows.mapInArrow(_writer(folder, path, end), MANIFEST), "manifest")
+    return c.written(rows.mapInArrow(_writer(folder, path, end), MANIFEST).repartition("file"), "manifest")
 
 
 def _reader(with_ids: bool):
@@ -199,13 +203,14 @@ def _reader(with_ids: bool):
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens and ids (or ids_crc32) of each document, from the files."""
+    """doc_id, start, n_tokens and ids (or ids_crc32) of each document, from the files; a task reads neighbouring segments, one
+    at a time."""
     files = manifest.groupBy("file").agg(F.sum("ids").alias("n"))
     files = files.withColumn("base", F.sum("n").over(Window.orderBy("file")) - F.col("n")).select("file", "base")
     before = F.sum("ids").over(Window.partitionBy("file").orderBy("segment")) - F.col("ids")
     placed = manifest.join(files, "file").select("path", "place", "size", (F.col("base") + before).alias("before"))
-    spread = max(1, min(manifest.count(), 8 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return placed.repartition(spread, "path", "place").mapInArrow(_reader(with_ids), "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
+    spread = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return placed.repartitionByRange(spread, "before").mapInArrow(_reader(with_ids), "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
 
 
 def tokenizer_file() -> str:
