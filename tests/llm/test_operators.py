@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -263,6 +264,24 @@ def test_long_pretokens_and_plain_encoding(tiktoken_encoding):
         assert bpe.encode_plain(text.encode(), v).tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
+def test_new_pieces_take_little_memory(tiktoken_encoding):
+    """A cold worker of the pipeline met so many new pieces at once that its executor passed its limit."""
+    r = np.random.default_rng(0)
+    letters = r.integers(97, 123, (250_000, 8), np.uint8)
+    letters[:, 0] = 32
+    data, offsets = letters.reshape(-1), np.array([0, 80, 80, 1_000_000, 2_000_000])
+    path = bpe.rank_file()
+    table = bpe.PieceTable(bpe.ranks(path).encode, bpe.ranks(path))
+    tracemalloc.start()
+    try:
+        got = [ids[x:y].tolist() for _, _, _, _, ids, rows in bpe.groups(data, offsets, table) for x, y in zip(rows, rows[1:])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [tiktoken_encoding.encode_ordinary(data[x:y].tobytes().decode()) for x, y in zip(offsets, offsets[1:])]
+    assert peak < 60 * len(data), peak
+
+
 def test_pieces_follow_the_pattern():
     import public_tokenizers as p
 

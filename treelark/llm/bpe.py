@@ -1,8 +1,8 @@
 """Operator 7, byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A queue keeps, for each merge rank, a bucket of linked-list positions; a bitmap of 64-way levels finds the smallest rank
-that has a bucket by find-first-set. Entries whose pair has changed since are skipped when they come up. All pieces of a
-group share one queue: positions of one rank in different pieces don't touch, so a bucket is merged by a few array
+that has a bucket by find-first-set. Entries whose pair has changed since are skipped when they come up. Many pieces
+share one queue: positions of one rank in different pieces don't touch, so a bucket is merged by a few array
 operations, and a very long piece costs its merges times a logarithm, never their square. Where a merge of some rank
 could give a pair of a smaller rank, only the leftmost entry of each piece is merged before the queue is asked again; so
 the result is that of merging the lowest rank first, leftmost first.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import common as c
 from .pretokens import pieces
 
-#: Bytes of text whose new pieces are encoded together, and pieces kept in a worker's table.
+#: Bytes of text whose new pieces are looked up together, bytes of new pieces that share a queue (a longer piece has one of its
+#: own), and pieces kept in a worker's table.
 GROUP_BYTES = 16 << 20
+QUEUE_BYTES = 1 << 19
 TABLE_PIECES = 1_200_000
 
 
@@ -202,8 +204,10 @@ class PieceTable:
         order = np.argsort(keys)
         self.keys, self.begin, self.count = keys[order], begin[order], count[order]
 
-    def learn(self, keys: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> None:
-        self._merge(keys, *self.encode(flat, offsets))
+    def learn(self, keys: np.ndarray, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds distinct new pieces; a queue's arrays take many times its bytes, so that many pieces have several queues."""
+        parts = [self.encode(flat[c.ranges(begin[i:j], lengths[i:j])], c.prefix(lengths[i:j])) for i, j in c.runs(c.prefix(lengths), QUEUE_BYTES)]
+        self._merge(keys, *(np.concatenate(x) for x in zip(*parts)))
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
         """Which of the keys aren't known."""
@@ -235,19 +239,21 @@ def groups(data: np.ndarray, offsets: np.ndarray, table: PieceTable):
             lengths = ends[first] - starts[first]
             new.setdefault("flat", []).append(raw[c.ranges(starts[first], lengths)])
             new.setdefault("length", []).append(lengths)
-            parts.append((a, b, raw, at, starts, distinct, inverse))
+            parts.append((a, b, raw, at, np.searchsorted(starts, at), distinct, inverse.astype(np.int32)))  # kept for the group, so small
         keys, flat, lengths = (np.concatenate(new[k]) for k in ("keys", "flat", "length"))
+        c.trim()
         if len(keys):
             keys, first, _ = c.distinct(keys)
             begin = (np.cumsum(lengths) - lengths)[first]
-            lengths = lengths[first]
-            table.learn(keys, flat[c.ranges(begin, lengths)], np.append(0, np.cumsum(lengths)))
-        for a, b, raw, at, starts, distinct, inverse in parts:
+            table.learn(keys, flat, begin, lengths[first])
+        del new, keys, flat, lengths
+        c.trim()
+        for a, b, raw, at, edges, distinct, inverse in parts:
             slot = table.look_up(distinct)
             count = table.count[slot][inverse]
             ids = table.ids[c.ranges(table.begin[slot][inverse], count)]
             total = c.prefix(count)
-            rows = total[np.searchsorted(starts, at)]
+            rows = total[edges]
             yield a, b, raw, at, ids, rows
 
 
