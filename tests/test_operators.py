@@ -125,6 +125,57 @@ def test_impact_hops(spark):
     assert _impact(spark, [("math", 1)], results=2)[1] == ["max_results"]
 
 
+def _moved(spark, run) -> int:
+    """Rows that a run writes for shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    none, tasks = gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()
+
+    def total() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, none, tasks)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_impact_doesnt_shuffle_imports_or_references_in_each_hop(spark):
+    n = 40_000
+    symbols = spark.range(50).select("id", F.concat(F.lit("f"), F.col("id") % 7).alias("file"), F.lit(True).alias("exported"))
+    references = spark.range(n).select((F.col("id") % 50).alias("symbol_id"), F.concat(F.lit("f"), F.col("id") % 11).alias("file"))
+    imports = spark.range(n).select(F.concat(F.lit("f"), F.col("id") % 13).alias("from_file"), F.concat(F.lit("f"), F.when(F.col("id") % 9 == 0, F.col("id") % 7).otherwise(F.col("id"))).alias("resolved_to"))
+    seeds = spark.createDataFrame([("f0", None)], "file string, symbol_id long")
+    threshold, got = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = _moved(spark, lambda: got.update((x.file, x.hops) for x in graph.impact(symbols, references, imports, seeds)[0].collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {f"f{i}": 0 for i in range(1, 13)}
+    assert moved < 1.2 * n  # the references once, to their symbols
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_impact_by_shuffle_and_by_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    r = random.Random(5)
+    for _ in range(3):
+        symbols = [(i, f"f{r.randrange(30)}", r.random() < 0.4) for i in range(30)]
+        references = [(r.randrange(30), f"f{r.randrange(30)}") for _ in range(25)]
+        imports = [(f"f{r.randrange(30)}", r.choice([None, f"f{r.randrange(30)}"])) for _ in range(25)]
+        seeds = [(symbols[3][1], None), (symbols[4][1], symbols[4][0]), (symbols[4][1], symbols[4][0])]
+        exports, seen, frontier, want = {f for _, f, e in symbols if e}, {f for f, _ in seeds}, {f for f, _ in seeds}, {}
+        for h in range(3):
+            used = {u for i, u in references for j, f, e in symbols if i == j and e and f in frontier and (h or (f, None) in seeds)} | {u for i, u in references if not h and i == symbols[4][0]}
+            frontier = (used | {a for a, b in imports if b in frontier and (not h or b not in exports)}) - seen
+            want |= dict.fromkeys(frontier, h)
+            seen |= frontier
+        of = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+        out, _ = graph.impact(of(symbols, "id long, file string, exported boolean"), of(references, "symbol_id long, file string"), of(imports, "from_file string, resolved_to string"), of(seeds, "file string, symbol_id long"), results=1000)
+        assert {x.file: x.hops for x in out.collect()} == want
+
+
 def test_proximity_against_bfs(spark):
     r = random.Random(1)
     edges = {(f"d{r.randrange(12)}", f"d{r.randrange(12)}") for _ in range(14)}

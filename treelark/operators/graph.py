@@ -11,6 +11,8 @@ from .. import constants as k
 from ..functions import text as t
 
 JS_ENDINGS = tuple("ts tsx js jsx mjs cjs".split())
+#: Counted rows of a frontier that are sent to every task, some 100 bytes each.
+FEW = 10_000
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -167,25 +169,36 @@ def impact(symbols: DataFrame, references: DataFrame, imports: DataFrame, seeds:
     Hop 0 follows references to the seed symbol, or to all exported ones, and every importer of the seed's file; later
     hops follow references to exported symbols, and importers of files that export nothing. Of several ways to a file in one
     hop the smallest (kind, from) is named; where results ends a hop, its first files by name stay. A depth of 0 takes no
-    hop. The frontier and what was seen are tables; each hop is two joins.
+    hop. The frontier and what was seen are tables. Pairs of files that references make are made once; imports are read as
+    they are in each hop and meet the frontier first, so that few of them go on.
     """
     state: dict = {}
     exported = symbols.where("exported").select(F.col("id").alias("symbol_id"), F.col("file").alias("target"))
     uses = references.select("symbol_id", F.col("file").alias("user"))
-    by_ref = uses.join(exported, "symbol_id").select("target", "user", F.lit("reference").alias("kind"))
+    by_ref = _cut(uses.join(exported, "symbol_id").select("target", "user").distinct(), state).withColumn("kind", F.lit("reference"))
     edges = imports.where("resolved_to IS NOT NULL").select(F.col("resolved_to").alias("target"), F.col("from_file").alias("user"), F.lit("import").alias("kind"))
-    later = by_ref.unionByName(edges.join(exported.select("target").distinct(), "target", "left_anti"))
 
-    named = seeds.where("symbol_id IS NOT NULL").join(uses, "symbol_id").select(F.col("file").alias("target"), "user", F.lit("reference").alias("kind"))
-    whole = seeds.where("symbol_id IS NULL").select(F.col("file").alias("target")).join(by_ref, "target").select("target", "user", "kind")
-    first = named.unionByName(whole).unionByName(seeds.select(F.col("file").alias("target")).distinct().join(edges, "target").select("target", "user", "kind"))
+    def met(files: DataFrame, n: int, ways: DataFrame) -> DataFrame:
+        """The ways to files(target), of which there are n: few are sent to the ways."""
+        return (F.broadcast(files) if n <= FEW else files).join(ways, "target").select("target", "user", "kind")
+
+    named, whole = seeds.agg(F.count("symbol_id"), F.count_if(F.col("symbol_id").isNull())).first()
     seen = seeds.select("file").distinct()
     out, stopped, frontier = None, [], None
-    count = seen.count()
+    count = n = seen.count()
     for h in range(depth + 1):
         if h and frontier is None:
             break
-        ways = first if h == 0 else frontier.select(F.col("file").alias("target")).join(later, "target").select("target", "user", "kind")
+        at = (frontier if h else seen).select(F.col("file").alias("target"))
+        if h:
+            ways = met(at, n, by_ref).unionByName(met(at.join(exported.select("target").distinct(), "target", "left_anti"), n, edges))
+        else:
+            ways = met(at, n, edges)
+            if whole:
+                ways = ways.unionByName(met(seeds.where("symbol_id IS NULL").select(F.col("file").alias("target")).distinct(), n, by_ref))
+            if named:
+                symbol = seeds.where("symbol_id IS NOT NULL").select("symbol_id", F.col("file").alias("target"))
+                ways = ways.unionByName((F.broadcast(symbol) if named <= FEW else symbol).join(uses, "symbol_id").select("target", "user", F.lit("reference").alias("kind")))
         step = ways.groupBy(F.col("user").alias("file")).agg(F.min(F.struct(F.col("kind"), F.col("target"))).alias("v")).join(seen, "file", "left_anti").select("file", F.lit(h).alias("hops"), F.col("v.kind").alias("via_kind"), F.col("v.target").alias("via_from"))
         if h == depth:
             if not step.isEmpty():
