@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__
-from treelark.plans import catalogue
+from treelark.plans import catalogue, relations
 
 from .oracle import same
 
@@ -50,3 +50,13 @@ def _reached(symbols, references, imports, seeds, depth=3):
         seen |= step
         frontier = step
     return hops
+
+
+@pytest.mark.parametrize("name", ["impact_scopes", "import_edges"])
+def test_joins_of_line_items_are_spread_by_their_number(spark, monkeypatch, name):
+    monkeypatch.setattr(relations, "TASK_ROWS", 500)
+    x = relations.Tables(spark, ROOT)
+    plan = x.imports()._jdf.queryExecution().optimizedPlan().toString()
+    parts = -(-x.table("lineitem").count() // 500)
+    assert parts > 4 and plan.count(f", {parts}\n") == 3  # orders, and line items twice
+    same(catalogue.QUERIES[name](spark, ROOT), catalogue.SQL[name], ROOT)

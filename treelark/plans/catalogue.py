@@ -199,7 +199,8 @@ _IMPACT = with_(
 def _impact(x: Tables) -> DataFrame:
     """Of the file of symbol 5, as a whole, and of an imported file."""
     s, i = x.symbols(), x.imports()
-    r = x.table("lineitem").select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("id")).distinct().join(s.select("id", "file"), "id").select("symbol_id", "file")
+    lines = x.table("lineitem").select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("id"))
+    r = x.spread(x.spread(lines, "id").join(s.select("id", "file"), "id").select("symbol_id", "file"), "symbol_id")
     files = s.where("id = 5").select("file").unionByName(i.agg(F.min("resolved_to").alias("file")).where("file IS NOT NULL"))
     seeds = graph.kept(files.select("file", F.lit(None).cast("long").alias("symbol_id")))
     return graph.impact(s, r, i, seeds, results=1 << 62)[0]

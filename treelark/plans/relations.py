@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Line items that a task joins at a time, about.
+TASK_ROWS = 500_000
+
 
 class Tables:
     """The tables of one directory as relations. Everything is lazy; only the columns used are read."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.parts = spark, root, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
@@ -22,6 +25,13 @@ class Tables:
         cores = self.spark.sparkContext.defaultParallelism
         return d if d.select("doc_id").rdd.getNumPartitions() >= cores else d.repartition(cores, "doc_id")
 
+    def spread(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows, one a line item or fewer, hashed by a key of a join into so many parts that a task's stay of one size, where
+        the session's partitions are too few for that."""
+        if self.parts is None:
+            self.parts = -(-self.table("lineitem").count() // TASK_ROWS)  # from the footers
+        return rows.repartition(self.parts, key) if self.parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
     def files(self) -> DataFrame:
         """file, dir, name, size, text, lang, doc_id."""
         d = self.table("documents")
@@ -51,7 +61,9 @@ class Tables:
         nation = self.table("nation").select("n_nationkey", "n_name", "n_regionkey")
         region = self.table("region").select("r_regionkey", "r_name")
         places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("dir"))
-        joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        bought = self.spread(orders, "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_nationkey")
+        sold = self.spread(line, "l_orderkey").join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        joined = self.spread(sold, "l_suppkey").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         a, b = places.alias("a"), places.alias("b")
         placed = joined.join(a, F.col("c_nationkey") == F.col("a.n_nationkey")).join(b, F.col("s_nationkey") == F.col("b.n_nationkey"))
         to = F.concat(F.col("b.dir"), F.lit("/s"), F.col("s_suppkey").cast("string"))
