@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as k
+from ..functions import terms
 from ..functions import text as t
 from .graph import kept
 
@@ -34,6 +35,20 @@ def zone_averages(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("zone").agg(F.avg("length").alias("average"))
 
 
+def _repeated(docs: DataFrame) -> bool:
+    """Whether a scope is in more than one row. Only the scopes are read."""
+    return not docs.where("scope IS NOT NULL").groupBy("scope").count().where("count > 1").isEmpty()
+
+
+def term_counts(docs: DataFrame, zones: list[str]) -> DataFrame:
+    """(term, zone, n, docs): how often a term is in a zone, and in how many scopes. Counted over many rows at once before the
+    only shuffle; where scopes have several rows, their terms are brought together first."""
+    if _repeated(docs):
+        return zone_terms(docs, zones).groupBy("term", "zone").agg(F.sum("tf").alias("n"), F.count("scope").alias("docs"))
+    found = docs.select("scope", *zones).mapInArrow(terms.counter(zones, False), "term string, zone string, n long, docs long")
+    return found.groupBy("term", "zone").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def document_frequency(docs: DataFrame, zones: list[str]) -> DataFrame:
     """(term, df): documents with the term in any zone. A document's distinct terms are found in its row, so that counts
     are combined before the only shuffle."""

@@ -256,7 +256,7 @@ _TOKENS = (
 
 @query(with_("zones", f", {_TOKENS} SELECT term, zone, count(*) AS n, count(DISTINCT scope) AS docs FROM tk GROUP BY ALL"))
 def tokenize_terms(x: Tables) -> DataFrame:
-    return retrieval.zone_terms(x.zones(), ZONES).groupBy("term", "zone").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    return retrieval.term_counts(x.zones(), ZONES)
 
 
 @query(with_("zones", f", {_TOKENS}, n AS (SELECT count(*) AS n FROM zones) SELECT zone, count(*) AS tokens, round(count(*) / any_value(n), 6) AS average FROM tk, n GROUP BY zone"))

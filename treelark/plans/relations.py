@@ -41,7 +41,7 @@ class Tables:
     def zones(self) -> DataFrame:
         """One document record per row: scope and its zone texts."""
         text = F.coalesce(F.col("text"), F.lit(""))
-        head = F.split(text, "\n").getItem(0)
+        head = F.substring_index(text, "\n", 1)
         return self.texts().select(F.col("doc_id").cast("string").alias("scope"), head.alias("summary"), F.substring(text, F.length(head) + 2, F.length(text)).alias("constraints"), F.concat_ws(" ", "source", "lang").alias("path"))
 
     def symbols(self) -> DataFrame:
