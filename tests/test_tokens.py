@@ -70,3 +70,4 @@ def test_scopes_count_once_and_null_ones_never(spark, scopes):
     docs = spark.createDataFrame([(s, "alpha beta alpha", "gamma" if i else "alpha") for i, s in enumerate(scopes)], "scope string, summary string, path string")
     named = len(set(scopes) - {None})
     assert {(x.term, x.zone): (x.n, x.docs) for x in retrieval.term_counts(docs, ["summary", "path"]).collect()} == {("alpha", "summary"): (8, named), ("beta", "summary"): (4, named), ("alpha", "path"): (1, 1), ("gamma", "path"): (3, len(set(scopes[1:]) - {None}))}
+    assert {x.term: x.df for x in retrieval.document_frequency(docs, ["summary", "path"]).collect()} == {"alpha": named, "beta": named, "gamma": len(set(scopes[1:]) - {None})}

@@ -50,10 +50,11 @@ def term_counts(docs: DataFrame, zones: list[str]) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, zones: list[str]) -> DataFrame:
-    """(term, df): documents with the term in any zone. A document's distinct terms are found in its row, so that counts
-    are combined before the only shuffle."""
-    bag = F.concat(*(t.token_bag(F.col(z), z == "symbols") for z in zones))
-    return docs.select(F.explode(F.array_distinct(bag)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): scopes with the term in any zone, counted as term_counts() does."""
+    if _repeated(docs):
+        return zone_tokens(docs, zones).groupBy("scope", "term").count().groupBy("term").agg(F.count("scope").alias("df"))
+    found = docs.select("scope", *zones).mapInArrow(terms.counter(zones, True), "term string, zone string, n long, docs long")
+    return found.groupBy("term").agg(F.sum("docs").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
